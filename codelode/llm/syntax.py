@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codelode.llm import lexers
+from codelode.llm import clike, lexers
 from codelode.llm.lalr import Table
 from codelode.llm.lexers import LexError
 
@@ -24,6 +24,9 @@ LANGUAGES: dict[str, tuple[str, Callable[[str], lexers.Tokens]]] = {
     "python": ("python", lexers.lex_python),
     "javascript": ("javascript", lexers.lex_javascript),
     "typescript": ("javascript", lexers.lex_typescript),
+    "go": ("go", clike.lex_go),
+    "java": ("java", clike.lex_java),
+    "c": ("c", clike.lex_c),
 }
 
 

@@ -1,0 +1,43 @@
+import pytest
+
+from codelode.llm.syntax import LANGUAGES, first_error
+
+VALID = {
+    "go": [
+        'package p\n\nimport (\n\t"fmt"\n\tm "math"\n\t. "os"\n)\n\nvar a, b int = 1, 2\nconst (\n\tX = iota\n\tY\n)\ntype T struct {\n\tA, B int `json:"a"`\n\t*Base\n\tio.Reader\n\tList[int]\n\tf func(int) (string, error)\n\tm map[string][]int\n}\n',
+        "package p\n\ntype I interface {\n\tF(a int) error\n\tfmt.Stringer\n\t~int | ~string\n}\ntype L[T any, U comparable] struct{ next *L[T, U] }\ntype A [3]int\ntype B []string\ntype N [X]int\nfunc Map[T, U any](xs []T, f func(T) U) []U {\n\tvar out []U\n\tfor _, x := range xs {\n\t\tout = append(out, f(x))\n\t}\n\treturn out\n}\n",
+        'package p\n\nfunc (r *T) M(a, b int, c ...string) (n int, err error) {\n\tif v, ok := m[a]; ok && v == 1 {\n\t\treturn v, nil\n\t} else if x := f(T{1, 2}); x != nil {\n\t\tgoto end\n\t}\n\tfor i := 0; i < 10; i++ {\n\t\tcontinue\n\t}\n\tfor {\n\t\tbreak\n\t}\n\tfor range []string{"a"} {\n\t}\nend:\n\tswitch y := x.(type) {\n\tcase int, *string:\n\t\tfallthrough\n\tcase nil:\n\tdefault:\n\t}\n\tselect {\n\tcase v := <-c:\n\t\t_ = v\n\tcase c <- 1:\n\tdefault:\n\t}\n\tgo func() { defer close(c) }()\n\tz := map[string][]T{"a": {{1, 2}}, "b": nil}\n\ts := a[1:2:3]\n\tq := &T{A: 1,\n\t\tB: 2,\n\t}\n\tw := struct{ x int }{1}\n\tfn := func(a int) interface{} { return a }\n\tvar ch chan<- int = make(chan int, 3)\n\tx, y = y, x\n\tx &^= 1 << 2\n\treturn int(n), (<-ch)\n}\n',
+        "package p\n\nfunc f() interface{} {\n\treturn []interface{}{1, 'x', '\\n', 0x1F, 1e3, 2i}\n}\nfunc g() struct{} { return struct{}{} }\nvar h = []func(){a, b}\nfunc k() { if f := func() bool { return true }; f() { return } }\n",
+    ],
+    "java": [
+        "package a.b;\n\nimport java.util.*;\nimport static java.lang.Math.max;\n\n@Deprecated\npublic final class A<T extends Comparable<T> & B> extends C<T> implements D, E<Map<String, List<int[]>>> {\n    private static final int[] X = {1, 2, 3,};\n    static { X[0] = 1; }\n    { y = 2; }\n    A(int a, String... b) throws IOException { super(a); this.a = a; }\n    @Override public <U> List<? super U> f(final Map<String, ? extends U> m) { return new ArrayList<>(); }\n    abstract int g();\n    enum K { A(1) { int f() { return 1; } }, B, C; int f() { return 0; } }\n    record P(int x, int y) { P { if (x < 0) throw new E(); } }\n    @interface Ann { int value() default 1; String[] names() default {\"a\"}; }\n    interface I { default void f() {} static int g() { return 1; } }\n    sealed interface S permits P, Q {}\n    non-sealed class Q implements S {}\n}\n",
+        'class A {\n    int f(Object o) {\n        for (int i = 0, j = 1; i < 10 && j > 2; i++, j--) { continue; }\n        for (final String s : list) System.out.println(s);\n        outer: while (true) { break outer; }\n        do { x += 1; } while (x < 5);\n        try (var r = open(); Reader q = new Reader(r)) { r.read(); } catch (IOException | RuntimeException e) { throw e; } finally { done(); }\n        int y = switch (k) { case 1, 2 -> 3; case 4 -> { yield 5; } default -> throw new X(); };\n        switch (k) { case 1: f(); break; case A: default: g(); }\n        switch (o) { case String s when s.length() > 3 -> f(); case Point(int a, var b) -> g(); case null, default -> h(); }\n        if (o instanceof String s && !s.isEmpty()) return 1; else return (int) x + (String) o + (a) - b;\n    }\n    Runnable r = () -> {}, s = x -> x + 1;\n    BiFunction<Integer, Integer, Integer> t = (a, b) -> a * b, u = (int a, int b) -> { return a >> b >>> 2; };\n    Object o = new Object() { int z; void f() {} }, p = new int[3][], q = new String[]{"a", "b"}, w = int[]::new, v = String::valueOf, c = int.class, d = A.this.x;\n    String text = """\n      a "quoted" text\n      """;\n    long l = 0xFFL + 1_000 + 1e3f; char ch = \'\\u0041\';\n    int g() { return a < b ? c : d > e ? 1 : 2; }\n    void h() { a[i]++; this.<T>m(); Collections.<String>emptyList(); synchronized (this) { assert x > 0 : "no"; } List<String>[] z = null; x >>= 2; f(a < b, c > d); }\n}\n',
+    ],
+    "c": [
+        '#include <stdio.h>\n#define F(x) { x \\\n  }\ntypedef struct node { int a : 3, b; struct node *next; T *t; } node_t, *node_p;\nenum e { A = 1, B, };\nunion u { int i; float f; };\nstatic const T *g(const U *x, V y, W *, ...);\nextern int (*fp)(int, char **), arr[3][4];\nint a[] = { [0] = 1, 2, [3 ... 5] = 4 }, *p = &a[1];\nstruct s v = { .x = { 1, 2 }, .y = "a" "b" };\nT *h(T *x) { return x; }\nT k(void) { return (T){ 1, 2 }; }\nMODULE("x");\nint old(a, b) int a; char *b; { return a; }\n',
+        '#ifdef X\nint f(int a) {\n#else\nint f(void) {\n#endif\n    T *x = (T *)malloc(sizeof(T) * n), **y;\n    const T *z = x;\n    size_t i = 0, j;\n    unsigned long long k = 0xffULL;\n    for (int i = 0; i < 10; i++) { a->b.c[i] += *p++; }\n    for (;;) break;\n    do { x--; } while (x > 0);\n    switch (k) { case 1: case \'a\': f(); break; default: g(); }\n    if (a) b(); else if (c) { d(); } else e = f ? (int)g : -h;\n    goto end;\nend:\n    list_for_each(p, q) { r(p); }\n    va_arg(ap, T *); va_arg(ap, int);\n    printf("%" PRIu64 "\\n", (uint64_t) x);\n    int (*cb)(int a) = 0;\n    T (*cc)(int a) = 0;\n    T *proto(int a);\n    x = a ? b ? c : d : e;\n    return !x && ~y || (z & 1);\n}\n',
+        "/*\n<<<<<<< ours\n*/\nchar *s = \"} {\";\nchar c = '{';\n",
+    ],
+}
+BROKEN = {
+    "go": ["package p\n\nfunc f() {\n", "package p\n\nfunc f() {\n\treturn a b\n}\n", 'package p\n\nvar s = "abc\n', "package p\n\nfunc f() {\n<<<<<<< HEAD\n}\n", "package p\n\nfunc f() {\n\tx := \n}\n", "func f() {}\n", "package p\n\nfunc f() }\n", "package p\n\nfunc f() {\n\tg(1, 2\n}\n", "package p\n\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n"],
+    "java": ["class A {\n", "class A { int f() { return 1 } }", "class A { int f( { } }", "class A { void f() { int x = ; } }", "class A { String s = \"abc; }", "class A {\n=======\n}", "class A { void f() { g(a b); } }", "class A { void f() { if (x { } } }", "class A { } }"],
+    "c": ["int f(void) {\n", "int f(void) { return 1 }\n", "int f(void) { g(a b); }\n", "int f(void) { x = ; }\n", 'char *s = "abc;\n', "int f(void) {\n>>>>>>> theirs\n}\n", "int f(void) { if (x { } }\n", "int f(void) { } }\n", "#if X\nint a;\n", "int f(void) { return a b; }\n"],
+}
+
+
+@pytest.mark.parametrize("lang,text", [(g, t) for g, ts in VALID.items() for t in ts])
+def test_valid(lang, text):
+    at = first_error(text, lang)
+    assert at == -1, text[max(0, at - 60) : at] + " >>> " + text[at : at + 30]
+
+
+@pytest.mark.parametrize("lang,text", [(g, t) for g, ts in BROKEN.items() for t in ts])
+def test_broken(lang, text):
+    assert first_error(text, lang) >= 0
+
+
+def test_every_language_of_the_files_has_a_grammar():
+    from codelode.llm.lang import EXTENSIONS
+
+    assert set(EXTENSIONS.values()) <= set(LANGUAGES)
