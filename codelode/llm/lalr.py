@@ -186,53 +186,66 @@ class Table:
             self.actions.append(action)
             self.gotos.append({heads[x]: q for x, q in move.items() if x in lefts})
         self.states = len(moves)
+        self._units: dict[tuple[int, int, int], int] = {}
 
     def accepts_next(self, stack: list[int], token: int) -> bool:
-        """Whether the token can be shifted after this stack, which isn't changed."""
-        stack = list(stack)
+        """Whether the token can be shifted, or the text accepted, after this stack, which isn't changed."""
+        actions, gotos, rules = self.actions, self.gotos, self.rules
+        a = actions[stack[-1]].get(token)
+        if a is None:
+            return False
+        low, over = len(stack), []  # what is left of the stack, and what lies on it
+        while a < 0:
+            n, head = rules[-a - 1]
+            if n <= len(over):
+                if n:
+                    del over[-n:]
+            else:
+                low -= n - len(over)
+                over.clear()
+            over.append(gotos[over[-1] if over else stack[low - 1]][head])
+            a = actions[over[-1]].get(token)
+            if a is None:
+                return False
+        return True
+
+    def feed(self, stack: list[int], token: int) -> bool:
+        """Shifts a token onto the stack, or says that it can't follow (the stack may be reduced by then)."""
+        actions, gotos, rules, known = self.actions, self.gotos, self.rules, self._units
         while True:
-            a = self.actions[stack[-1]].get(token)
+            top = stack[-1]
+            a = actions[top].get(token)
             if a is None:
                 return False
-            if a >= 0:
+            if a > 0:
+                stack.append(a)
                 return True
-            n, head = self.rules[-a - 1]
+            if a == 0:
+                return True
+            n, head = rules[-a - 1]
+            if n == 1:
+                # a chain of rules with one symbol ends in the same state whenever it begins alike
+                below = stack[-2]
+                key = (below, top, token)
+                to = known.get(key)
+                if to is None:
+                    to, b = gotos[below][head], a
+                    while True:
+                        b = actions[to].get(token)
+                        if b is None or b >= 0 or rules[-b - 1][0] != 1:
+                            break
+                        to = gotos[below][rules[-b - 1][1]]
+                    known[key] = to
+                stack[-1] = to
+                continue
             if n:
                 del stack[-n:]
-            stack.append(self.gotos[stack[-1]][head])
-
-    def first_error(self, tokens: list[int], filler: int | None = None, may_fill=None) -> int:
-        """Index of the first token that can't follow, len(tokens) for a premature end, -1 if all is well.
-
-        filler: a token that may be put in before the token at i where may_fill(i).
-        """
-        actions, gotos, rules = self.actions, self.gotos, self.rules
-        stack = [0]
-        push = stack.append
-        for i, token in enumerate([*tokens, 0]):
-            while True:
-                a = actions[stack[-1]].get(token)
-                if a is None:
-                    if filler is not None and token != filler and may_fill(i) and self.accepts_next(stack, filler):
-                        pending = filler
-                        while True:
-                            a = actions[stack[-1]][pending]
-                            if a > 0:
-                                push(a)
-                                break
-                            n, head = rules[-a - 1]
-                            if n:
-                                del stack[-n:]
-                            push(gotos[stack[-1]][head])
-                        continue
-                    return i
-                if a > 0:
-                    push(a)
-                    break
-                if a == 0:
-                    return -1
-                n, head = rules[-a - 1]
-                if n:
-                    del stack[-n:]
-                push(gotos[stack[-1]][head])
-        return len(tokens)
+            stack.append(gotos[stack[-1]][head])
+
+    def first_error(self, tokens: list[int]) -> int:
+        """Index of the first token that can't follow, len(tokens) for a premature end, -1 if all is well."""
+        stack, feed = [0], self.feed
+        for i, token in enumerate(tokens):
+            if not feed(stack, token):
+                return i
+        return -1 if feed(stack, 0) else len(tokens)

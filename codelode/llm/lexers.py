@@ -167,6 +167,8 @@ def lex_python(text: str) -> Tokens:
             add("=")
             put(at)
         elif kind != "s":
+            if kind == "NUMBER" and text[at] == "0" and (digits := m.group().replace("_", "")).isdigit() and digits.strip("0"):
+                raise LexError(at)
             add(kind)
             put(at)
         at = m.end()
@@ -199,412 +201,89 @@ def _soft_words(text: str, kinds: list[str], places: list[int]) -> None:
                 kinds[i] = "match" if word == "match" else "case"
 
 
-# ---------------------------------------------------------------- JavaScript and TypeScript
+_PY_OPERATORS = frozenset("AUG OP + - / ** @ and or not in is if lambda await -> :=".split())
+_PY_VALUES = frozenset("NUMBER STRING None True False ... - + ~ not lambda await yield {".split())
 
-_JS_WORDS = frozenset("async await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof let new null return super switch this throw true try typeof var void while yield enum".split())
-_JS = re.compile(
-    r"(?P<s>[^\S\r\n  ]+|//[^\r\n  ]*)|(?P<nl>(?:[\r\n  ]|/\*.*?\*/)+)"
-    r"|(?P<STRING>\"(?:\\(?:\r\n|.)|[^\"\\\r\n])*\"|'(?:\\(?:\r\n|.)|[^'\\\r\n])*')"
-    r"|(?P<NUMBER>(?:0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?n?)(?![\w$]))"
-    r"|(?P<n>(?:[^\W\d]|[$])[\w$‌‍]*)|(?P<PRIVATE>#(?:[^\W\d]|[$])[\w$]*)"
-    r"|(?P<ASSIGN>>>>=|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|[-+*%&|^]=|/=)|(?P<o>\.\.\.|=>|\?\.(?!\d)|\+\+|--|[-+*(){}\[\],.;:?~@]|!(?!=)|=(?!=))"
-    r"|(?P<OP>\*\*|===|!==|==|!=|<=|>=|<<|>>>|>>|&&|\|\||\?\?|[<>%&|^])|(?P<d>/)|(?P<t>`)",
-    re.S,
-)
-_JS_REGEX = re.compile(r"/(?![*/])(?:\\[^\r\n]|\[(?:\\[^\r\n]|[^\]\\\r\n])*\]|[^/\\\r\n\[])+/[\w$]*")
-_JS_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(`|\$\{)", re.S)
-_HASHBANG = re.compile(r"#![^\n]*")
-#: A token after which an operand follows, so a slash begins a regular expression and a brace an object.
-_JS_BEFORE = frozenset("( [ { , ; : ? ~ ! = => ... + - * / OP ASSIGN ++ -- T( T, A( B{ O{ C{ I{ L: T: return throw typeof void delete in instanceof of new do else case await yield extends default as".split())
-_TS_WORDS = {"interface", "type", "declare", "namespace", "module", "abstract"}
-_TS_MODS = frozenset("public private protected readonly static override accessor get set abstract declare async".split())
-_JS_MODS = frozenset("static get set async accessor".split())
-
-
-def _type_arguments(text: str, at: int) -> int:
-    """End of type arguments <...> that begin at this place, or -1 if it isn't one."""
-    depth, i, n = 0, at, min(len(text), at + 2000)
-    while i < n:
-        c = text[i]
-        if c == "<":
+
+def _python_target(kinds: list[str], low: int, high: int) -> int:
+    """The index of the first token of kinds[low:high] that can't be part of a target of assignment, or -1."""
+    piece, depth, opened = low, 0, -1
+    for i in range(low, high + 1):
+        k = kinds[i] if i < high else ","
+        if k in ("(", "[", "{"):
+            if not depth:
+                opened = i
             depth += 1
-        elif c == ">":
-            if text[i - 1] != "=":
-                depth -= 1
-                if not depth:
-                    return i + 1
-        elif c in "+*/%^!@~`#\\" or (c == "&" and text[i + 1 : i + 2] == "&") or (c == "|" and text[i + 1 : i + 2] == "|") or (c == ";" and depth == 1):
-            return -1
-        i += 1
+        elif k in (")", "]", "}"):
+            depth -= 1
+        elif not depth and k == ",":
+            if kinds[piece] == "*":
+                piece += 1
+            if piece < i:
+                if kinds[piece] in _PY_VALUES:
+                    return piece
+                if kinds[i - 1] == ")" and opened > piece:
+                    return opened
+            piece = i + 1
+        elif not depth and (k in _PY_OPERATORS or (k == "*" and i > piece)):
+            return i
     return -1
 
 
-class _Brace:
-    __slots__ = ("mark", "kind", "at", "control", "conditions", "class_head", "names")
-
-    def __init__(self, mark: str, kind: str, at: int, control: str = "") -> None:
-        self.mark, self.kind, self.at, self.control = mark, kind, at, control
-        self.conditions = 0  # open ? of conditional expressions
-        self.class_head = False
-
-
-def lex_javascript(text: str, typescript: bool = False):
-    """(kinds, places, new line before each)."""
-    kinds: list[str] = []
-    places: list[int] = []
-    lines: list[bool] = []
-    stack = [_Brace("", "B{", 0)]
-    arrows: list[int] = []
-    at, n, line = 0, len(text), False
-    last = ";"  # the token before
-    closed = ""  # what the last closing mark closed
-    match = _JS.match
-    statement = True  # a statement begins here
-    list_head = False  # within import or export before its braces
-    type_value = 0  # depth at which `type X =` or a type mark is open
-    m = _HASHBANG.match(text)
-    if m:
-        at = m.end()
-    if text.startswith("﻿"):
-        at = 1
-
-    def emit(kind: str) -> None:
-        nonlocal last, line, statement
-        kinds.append(kind)
-        places.append(at)
-        lines.append(line)
-        line = False
-        last = kind
-        statement = False
+def python_misuse(kinds: list[str]) -> int:
+    """Index of the first token that the grammar allows but its place doesn't, or -1.
 
-    while at < n:
-        m = match(text, at)
-        if not m:
-            raise LexError(at)
-        kind, end = m.lastgroup, m.end()
-        top = stack[-1]
-        if kind == "s":
-            at = end
+    These are targets that are values, return and yield outside functions, break and continue outside
+    loops, and await outside asynchronous functions.
+    """
+    outer = [(False, False, False)]  # in a function, in a loop, asynchronous
+    i, n = 0, len(kinds)
+    while i < n:
+        if kinds[i] == "INDENT":
+            outer.append(here)  # noqa: F821 - a head comes before each indent
+            i += 1
             continue
-        if kind == "nl":
-            if re.search(r"[\r\n  ]", m.group()):
-                line = True
-                if last in ("return", "break", "continue") and top.kind in ("B{", ""):
-                    emit(";")
-                    statement = True
-            at = end
+        if kinds[i] == "DEDENT":
+            outer.pop()
+            i += 1
             continue
-        operand = last in _JS_BEFORE or (last == ")" and closed == "control") or (last == "}" and closed == "B{") or (statement and last != ")")
-        if kind == "n":
-            word = m.group()
-            follow = text[end : end + 1]
-            rest = text[end : end + 80].lstrip()
-            if last in (".", "?."):
-                emit("NAME")
-            elif top.kind in ("O{", "C{") and (last in ("O{", "C{", ",", ";", "}", "MOD", "*") or (top.kind == "C{" and line)) and (last != "," or top.kind == "O{"):
-                # a member's name or a word before it
-                mods = _TS_MODS if typescript else _JS_MODS
-                if word in mods and rest and (rest[0] in "[#'\"*{" or rest[0].isalnum() or rest[0] in "_$") and not (top.kind == "O{" and not typescript and word in ("static", "accessor")):
-                    if word == "static" and rest[0] == "{":
-                        emit("static")
-                    else:
-                        emit("MOD")
-                else:
-                    emit("NAME")
-                    if typescript and top.kind == "C{":
-                        type_value = 0
-            elif top.kind == "I{":
-                if word == "as" and last in ("NAME", "STRING", "default"):
-                    emit("as")
-                elif word == "type" and typescript and last in ("I{", ",") and rest[:1] not in (",", "}") and not rest.startswith("as "):
-                    emit("type")
-                else:
-                    emit("default" if word == "default" else "NAME")
-            elif word == "async" and (rest.startswith("function") or (rest[:1] == "(" and _arrow_follows(text, end + text[end:].index("("))) or re.match(r"[\w$]+\s*=>", rest)) and "\n" not in text[end : end + len(text[end:]) - len(text[end:].lstrip())]:
-                emit("async")
-            elif word == "async":
-                emit("NAME")
-            elif word == "enum" and not typescript:
-                raise LexError(at)
-            elif word in _JS_WORDS:
-                start = statement
-                if word == "default" and rest[:1] == ":":
-                    emit("default")
-                elif word == "class":
-                    emit("class")
-                    top.class_head = True
-                elif word in ("import", "export"):
-                    emit(word)
-                    list_head = start and rest[:1] not in ("(", ".")
-                    statement = word == "export"
-                    if word == "export" and rest[:1] == "{":
-                        statement = False
-                elif word == "await" and typescript is False and False:
-                    emit("NAME")
-                else:
-                    emit(word)
-                    if word in ("else", "do", "try", "finally"):
-                        statement = True
-                    if word == "default":
-                        list_head = False
-                    if word in ("function", "const", "let", "var"):
-                        list_head = False
-            elif word == "from" and list_head and (last in ("NAME", "}", "*") and (rest[:1] in "\"'")):
-                emit("from")
-                list_head = False
-            elif word == "as" and list_head and last == "*":
-                emit("as")
-            elif word == "of" and top.mark == "(" and top.control == "for" and last in ("NAME", "]", "}", ")"):
-                emit("of")
-            elif word == "with" and last == "STRING" and rest[:1] == "{":
-                emit("with")
-            elif typescript and word in _TS_WORDS and (statement or last in ("export", "declare", "default")) and not line_break(text, end) and (rest[:1].isalpha() or rest[:1] in "_$\"'{"):
-                word = "namespace" if word == "module" else word
-                emit(word)
-                if word in ("declare", "abstract"):
-                    statement = True
-                if word == "type":
-                    type_value = len(stack)
-                list_head = word == "type" and list_head
-            elif typescript and word == "type" and last == "import" and (rest[:1] in "{*" or re.match(r"[\w$]+\s+from\b", rest)) and not rest.startswith("from "):
-                emit("type")
-            elif typescript and word in ("as", "satisfies") and last in ("NAME", ")", "]", "}", "STRING", "NUMBER", "TEMPLATE", "T)", "this", "null", "true", "false") and not line:
-                emit("as")
-                type_value = len(stack)
-            elif typescript and word in ("implements",) and top.class_head:
-                emit("implements")
-            elif typescript and word == "is" and type_value == len(stack) and last in ("NAME", "this"):
-                emit("is")
-            elif typescript and word == "asserts" and last == "T:" and re.match(r"[\w$]", rest):
-                emit("asserts")
-            elif typescript and word in _TS_MODS and top.mark in ("(", "A(") and last in ("(", "A(", ",", "MOD", ")") and re.match(r"[\w$]+\s*[?:,)=]|(?:readonly|public|private)\b", rest):
-                emit("MOD")
-            else:
-                start = statement
-                emit("NAME")
-                if start and rest[:1] == ":" and top.kind == "B{":
-                    at = text.index(":", end)
-                    emit("L:")
-                    statement = True
-                    at += 1
-                    continue
-                if typescript and follow == "<":
-                    stop = _type_arguments(text, end)
-                    if stop > 0 and re.match(r"\s*(?:[(),;\[\]{}>=:|&?]|extends\b|implements\b|\n|$)", text[stop:]):
-                        at = end
-                        emit("TARGS")
-                        at = stop
-                        continue
-            if typescript and last == "default" and rest[:1] == ":":
-                pass
-            if kinds[-1] == "default" and rest[:1] == ":" and top.kind == "B{":
-                at = text.index(":", end)
-                emit("L:")
-                statement = True
-                at += 1
-                continue
-        elif kind == "d" or (kind == "ASSIGN" and m.group() == "/="):
-            if operand:
-                r = _JS_REGEX.match(text, at)
-                if not r:
-                    raise LexError(at)
-                emit("REGEX")
-                end = r.end()
-            else:
-                emit("/" if kind == "d" else "ASSIGN")
-        elif kind == "t":
-            r = _JS_TEMPLATE.match(text, end)
-            if not r:
-                raise LexError(at)
-            if r.group(1) == "`":
-                emit("TEMPLATE")
-            else:
-                emit("T(")
-                stack.append(_Brace("`", "T(", at))
-            end = r.end()
-        elif kind == "OP" and typescript and m.group() == "<" and (operand or last in ("function", "class")) and _type_arguments(text, at) > 0:
-            emit("TARGS")
-            end = _type_arguments(text, at)
-        elif kind == "OP" and typescript and type_value == len(stack) and m.group() in ("|", "&"):
-            emit(m.group())
-        elif kind == "o":
-            mark = m.group()
-            if mark in ("(", "["):
-                control = last if last in ("if", "while", "for", "with", "switch", "catch") else "for" if last == "await" and kinds[-2:-1] == ["for"] else ""
-                opener = "A(" if mark == "(" and (operand or last in ("async", "TARGS", "as") or typescript) and last not in ("if", "while", "for", "switch", "catch", "function") and _arrow_follows(text, at, typescript) and not (last == "NAME" and not typescript) and not (typescript and not operand and last not in ("async", "TARGS", "as", "T:")) else mark
-                emit(opener)
-                stack.append(_Brace(mark, opener, at, control))
-                if mark == "(" and control == "for":
-                    pass
-            elif mark == "{":
-                if list_head and last in ("import", "export", ",", "type"):
-                    brace = "I{"
-                elif top.class_head and last not in ("extends", "=", "("):
-                    brace, top.class_head = "C{", False
-                elif last == "=>":
-                    brace = "O{" if typescript and type_value == len(stack) else "B{"
-                elif typescript and (last in ("T:", "as", "|", "&") or (last in ("=", "extends", ":") and type_value == len(stack))):
-                    brace = "O{"
-                elif typescript and _shape_head(kinds):
-                    brace = "O{"
-                elif last == "return" and line is False:
-                    brace = "O{"
-                elif last == "}" or (last == ")" and closed != "") or statement or last in (")", ";", "else", "do", "try", "finally", "B{", "L:", "catch", "static"):
-                    brace = "B{"
-                elif typescript and last in ("NAME", "]", "TARGS", "void", "this", "null", "STRING", "true", "false"):
-                    brace = "B{"
-                elif last == "NAME" and kinds[-2:-1] in (["namespace"],):
-                    brace = "B{"
-                else:
-                    brace = "O{"
-                emit(brace)
-                stack.append(_Brace("{", brace, at))
-                statement = brace == "B{"
-                if brace == "B{":
-                    type_value = 0
-                if brace == "I{":
-                    list_head = True
-            elif mark in (")", "]", "}"):
-                if len(stack) == 1:
-                    raise LexError(at)
-                if top.mark == "`" and mark == "}":
-                    r = _JS_TEMPLATE.match(text, end)
-                    if not r:
-                        raise LexError(at)
-                    emit("T)" if r.group(1) == "`" else "T,")
-                    if r.group(1) == "`":
-                        stack.pop()
-                    end = r.end()
-                else:
-                    if {"(": ")", "[": "]", "{": "}"}.get(top.mark) != mark:
-                        raise LexError(at)
-                    stack.pop()
-                    if type_value > len(stack):
-                        type_value = 0
-                    emit(mark)
-                    closed = "control" if mark == ")" and top.control in ("if", "while", "for", "with") else top.kind if mark == "}" else ""
-                    if mark == "}":
-                        statement = top.kind in ("B{", "C{") and stack[-1].kind == "B{"
-                    if mark == ")" and closed == "control":
-                        statement = True
-            elif mark == "?" and typescript and re.match(r"\s*[:,)]", text[end:]) and not (top.conditions and text[end : end + 1] != ":"):
-                emit("?")
-            elif mark == "?":
-                top.conditions += 1
-                emit("?")
-            elif mark == ":":
-                if top.conditions and not (typescript and last == "?"):
-                    top.conditions -= 1
-                    emit(":")
-                elif top.kind == "B{" and _case_head(kinds):
-                    emit("L:")
-                    statement = True
-                elif typescript and top.kind != "O{":
-                    emit("T:")
-                    type_value = len(stack)
-                elif typescript and top.kind == "O{" and last == ")":
-                    emit("T:")
-                    type_value = len(stack)
-                else:
-                    emit(":")
-                    if typescript and top.kind == "O{":
-                        type_value = len(stack) if _in_shape(kinds, stack, text) else 0
-            elif mark == ";":
-                emit(";")
-                statement = top.kind == "B{"
-                list_head, type_value, top.conditions = False, 0, 0
-            elif mark in ("=", ",") and typescript:
-                if mark == "=" and not (kinds and _alias_head(kinds)):
-                    type_value = 0
-                elif mark == ",":
-                    type_value = 0
-                emit(mark)
-            elif mark == "*" and list_head:
-                emit("*")
-            else:
-                emit(mark)
-        else:
-            emit(kind)
-        if line and False:
-            pass
-        at = end
-    if len(stack) > 1:
-        raise LexError(n)
-    return kinds, places, lines
-
-
-def line_break(text: str, at: int) -> bool:
-    m = re.compile(r"[ \t]*(\r|\n)").match(text, at)
-    return bool(m)
-
-
-def _arrow_follows(text: str, at: int, typescript: bool = False) -> bool:
-    """Whether the bracket at this place closes before =>."""
-    depth, i, n = 0, at, len(text)
-    skip = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|//[^\n]*|/\*.*?\*/|[()\[\]{}]", re.S)
-    while i < n:
-        m = skip.search(text, i)
-        if not m:
-            return False
-        c = m.group()
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if not depth:
-                after = text[m.end() : m.end() + 300]
-                return bool(re.match(r"\s*=>", after)) or (typescript and bool(re.match(r"\s*:\s*[\w$.<>\[\]| ,{}:;?]+?=>", after)))
-        i = m.end()
-    return False
-
-
-def _case_head(kinds: list[str]) -> bool:
-    """Whether a case is open in the tokens since the last statement."""
-    depth = 0
-    for k in reversed(kinds):
-        if k in (")", "]", "}", "T)"):
-            depth += 1
-        elif k in ("(", "[", "B{", "O{", "C{", "A(", "T("):
-            if not depth:
-                return False
-            depth -= 1
-        elif not depth and k in ("case", "default"):
-            return True
-        elif not depth and k in (";", "L:"):
-            return False
-    return False
-
-
-def _shape_head(kinds: list[str]) -> bool:
-    """Whether the head of an interface or enum stands here."""
-    for k in reversed(kinds[-40:]):
-        if k in ("interface", "enum"):
-            return True
-        if k not in ("NAME", "TARGS", "extends", ",", "."):
-            return False
-    return False
-
-
-def _alias_head(kinds: list[str]) -> bool:
-    i = len(kinds) - 1
-    if i >= 0 and kinds[i] == "TARGS":
-        i -= 1
-    return i >= 1 and kinds[i] == "NAME" and kinds[i - 1] == "type"
-
-
-def _in_shape(kinds: list[str], stack: list, text: str) -> bool:
-    """Whether the innermost brace holds members of a type."""
-    depth = 0
-    for i in range(len(kinds) - 1, -1, -1):
-        k = kinds[i]
-        if k in (")", "]", "}", "T)"):
-            depth += 1
-        elif k in ("(", "[", "B{", "O{", "C{", "A(", "T(", "I{"):
-            if not depth:
-                return i > 0 and (kinds[i - 1] in ("T:", "|", "&", "as") or _shape_head(kinds[:i]) or (kinds[i - 1] == "=" and _alias_head(kinds[: i - 1])))
-            depth -= 1
-    return False
-
-
-def lex_typescript(text: str):
-    return lex_javascript(text, True)
+        end = kinds.index("NEWLINE", i)
+        here = outer[-1]
+        head = kinds[i + 1] if kinds[i] == "async" else kinds[i]
+        suite = end
+        if head in ("def", "class", "for", "while", "if", "else", "elif", "try", "except", "finally", "with", "match", "case"):
+            inside = (True, False, kinds[i] == "async") if head == "def" else (False, False, False) if head == "class" else (here[0], True, here[2]) if head in ("for", "while") else here
+            if kinds[i] == "async" and head != "def" and not here[2]:
+                return i
+            depth, lambdas = 0, 0
+            for j in range(i, end):
+                k = kinds[j]
+                depth += (k in ("(", "[", "{")) - (k in (")", "]", "}"))
+                if not depth and k == "lambda":
+                    lambdas += 1
+                elif not depth and k == ":":
+                    if not lambdas:
+                        suite = j
+                        break
+                    lambdas -= 1
+        starts, depth, has_lambda = i, 0, "lambda" in kinds[i:end]
+        for j in range(i, end + 1):
+            k = kinds[j]
+            if j == suite and j < end:
+                here, starts = inside, j + 1
+            depth += (k in ("(", "[", "{")) - (k in (")", "]", "}"))
+            if (k == "return" and not here[0]) or (k in ("break", "continue") and not here[1]) or (k == "await" and not here[2]) or (k == "yield" and not here[0] and not has_lambda):
+                return j
+            if not depth and (k == "=" or k == "AUG") and kinds[starts] not in ("type", "def", "class") and "lambda" not in kinds[starts:j]:
+                colon = next((c for c in range(starts, j) if kinds[c] == ":" and kinds[starts:c].count("[") == kinds[starts:c].count("]") and kinds[starts:c].count("{") == kinds[starts:c].count("}")), j)
+                bad = _python_target(kinds, starts, colon)
+                if bad >= 0:
+                    return bad
+                starts = j + 1
+            elif not depth and k == ";":
+                starts = j + 1
+        if suite < end:
+            here = outer[-1]
+        here = inside if suite == end - 1 else here
+        i = end + 1
+    return -1

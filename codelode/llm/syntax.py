@@ -2,7 +2,8 @@
 
 Each language has a grammar beside this module; LALR(1) tables are built from it once per process.
 A file is lexed and its whole token stream is parsed; the first token that no valid file can have
-there is its error. Names, types and imports play no part, nor do rules beyond the grammar.
+there is its error. Names, types and imports play no part. Of the rules beyond the grammar only
+those of Python about targets and the places of return, yield, await, break and continue count.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from codelode.llm import clike, lexers
+from codelode.llm import clike, lexers, script
 from codelode.llm.lalr import Table
 from codelode.llm.lexers import LexError
 
@@ -22,12 +23,12 @@ LANGUAGES: dict[str, tuple[str, Callable[[str], lexers.Tokens]]] = {
     "json": ("json", lexers.lex_json),
     "css": ("css", lexers.lex_css),
     "python": ("python", lexers.lex_python),
-    "javascript": ("javascript", lexers.lex_javascript),
-    "typescript": ("javascript", lexers.lex_typescript),
     "go": ("go", clike.lex_go),
     "java": ("java", clike.lex_java),
     "c": ("c", clike.lex_c),
 }
+SCRIPTS = {"javascript": False, "typescript": True}  # read token by token with the parser's state
+GRAMMARS = frozenset(LANGUAGES) | frozenset(SCRIPTS)
 
 
 @functools.lru_cache(maxsize=None)
@@ -37,27 +38,26 @@ def table(grammar: str) -> Table:
 
 def first_error(text: str, lang: str) -> int:
     """Place of the first error (len(text): it ends too soon), or -1."""
+    if lang in SCRIPTS:
+        return script.first_error(table("script"), text, SCRIPTS[lang])
     grammar, lex = LANGUAGES[lang]
     parser = table(grammar)
     try:
-        kinds, places, *rest = lex(text)
+        kinds, places = lex(text)
     except LexError as e:
         return e.at
     ids = parser.ids
-    tokens = [ids.get(k, -1) for k in kinds]
-    if rest:
-        may_fill = rest[0]
-        at = parser.first_error(tokens, ids[";"], lambda i: i >= len(kinds) or kinds[i] == "}" or may_fill[i])
-    else:
-        at = parser.first_error(tokens)
+    at = parser.first_error([ids.get(k, -1) for k in kinds])
+    if at < 0 and lang == "python":
+        at = lexers.python_misuse(kinds)
     return at if at < 0 else places[at] if at < len(places) else len(text)
 
 
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        errors = [first_error(t, g) if g in LANGUAGES else -1 for t, g in zip(pdf["text"], pdf["lang"])]
+        errors = [first_error(t, g) if g in GRAMMARS else -1 for t, g in zip(pdf["text"], pdf["lang"])]
         lines = [t.count("\n", 0, e) + 1 if e >= 0 else None for t, e in zip(pdf["text"], errors)]
-        yield pd.DataFrame({"path": pdf["path"], "lang": pdf["lang"], "parsed": [g in LANGUAGES for g in pdf["lang"]], "error_line": pd.array(lines, dtype="Int32")})
+        yield pd.DataFrame({"path": pdf["path"], "lang": pdf["lang"], "parsed": [g in GRAMMARS for g in pdf["lang"]], "error_line": pd.array(lines, dtype="Int32")})
 
 
 def parse_files(rows: DataFrame) -> DataFrame:
