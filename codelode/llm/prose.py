@@ -1,9 +1,12 @@
 """Problem 10: text statistics per document, and texts that are not prose.
 
-Layout comes first: lines whose delimiters stand in columns are tables, lines with repeated
-markers or steps of indentation are lists, lines of equal length or equal content in a row are
-output. What is left is joined to stretches, and a stretch is prose if common words of a language
-make up enough of it, less its tokens of symbols. A text is prose if most of its characters are.
+Layout comes first. Delimiters that stand under each other, by column or by their number in lines
+that follow each other, make tables; first tokens of one shape, and steps of indentation that come
+again, make lists; lengths of lines that repeat with a period make output and records. A line of
+such a layout is prose only if it reads as a sentence by itself. The other lines are joined to
+stretches, and a stretch is prose if common words of a language make up enough of it, less its
+tokens of symbols, and its words aren't the same again and again. A text is prose if most of its
+characters are.
 """
 
 from __future__ import annotations
@@ -24,46 +27,71 @@ COMMON = {
 }
 PROSE_SHARE = 0.5  # of the characters of a text
 COMMON_SHARE = 0.28  # of the tokens of a stretch, less half of its share of symbol tokens
-COLUMNS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "table_lines", "list_lines", "repeated_lines", "line_autocorrelation", "prose_share")
+SYMBOL_SHARE = 0.5  # of the tokens of a line that is code or output
+SENTENCE_TOKENS = 7  # a line within a list or table is a sentence from so many tokens on
+PERIODS = (1, 2, 3, 4)  # lags of the autocorrelation of line lengths
+CORRELATED = 0.6
+REPEATED_WINDOW, REPEATED_SHARE = 100, 0.2  # words; distinct pairs of words in a window of prose
+COLUMNS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "table_lines", "list_lines", "repeated_lines", "line_autocorrelation", "indent_period", "prose_share")
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LIST = re.compile(r"\s*(?:[-*+•‣]\s+(?:\[[ xX]\]\s*)?\S|\(?\d{1,4}[.)]\s|[a-zA-Z][.)]\s)")
-_SYMBOLS = re.compile(r"[=(){}\[\]<>|\;_*+^~$#@&%`\"]|^\W+$|^\d[\d.,:%-]*$")
+_SYMBOL = re.compile(r"[=(){}\[\]<>|\\;_*+^~$#@&%`\"]|^\W+$|^\d[\d.,:%-]*$")
 _END = tuple(".!?:;…。")
-_CODE = re.compile(r"^\s*(?:Traceback|File \"|@@ |[-+]{3} |[-+][^\s-]|[>$] |at \S+\()|[;{}]\s*$|\)\s*[:;]?\s*$|^\s*(?:#include|import |from \S+ import|def |func |return\b.*[;)]|[\w.\[\]'\"]+ (?:[-+*/]?=|:=) )")
+_DELIMITERS = {"|": re.compile(r"\|"), "tab": re.compile(r"\t"), ";": re.compile(";"), ",": re.compile(","), ":": re.compile(r":(?=\s|$)"), "=": re.compile("="), "gap": re.compile(r"(?<=\S) {2,}(?=\S)"), "dots": re.compile(r"\.{3,}")}
+#: What a line begins with, by shape: marks of items, numbers of items, words before a mark.
+_FIRST = re.compile(r"\s*(?:(?P<mark>[^\w\s\"'(¿¡`«„“]{1,3})\s+(?=\S)|(?P<number>\(?(?:\d{1,4}|[a-zA-Z])[.)])\s+(?=\S)|(?P<key>[\w./-]+)\s*(?:[:=]|\.{3,}|->)(?=\s))")
 
 
-def _tables(lines: list[str]) -> list[bool]:
-    """Lines whose delimiters repeat in the next or last line, or that consist of cells."""
+def aligned_lines(lines: list[str]) -> list[bool]:
+    """Lines whose delimiters stand in columns of a line beside them, or divide it in as many short cells."""
     found = [False] * len(lines)
-    for delimiter, least in (("|", 2), ("\t", 1), (";", 2), (",", 2), ("  ", 1)):
-        if delimiter == "  ":
-            counts = [len(re.findall(r"\S {2,}(?=\S)", x)) for x in lines]
-        else:
-            counts = [x.count(delimiter) for x in lines]
-        for i, n in enumerate(counts):
-            if n < least:
+    words = [len(x.split()) for x in lines]
+    for rx in _DELIMITERS.values():
+        spots = [[m.start() for m in rx.finditer(x)] for x in lines]
+        for i in range(len(lines) - 1):
+            a, b = spots[i], spots[i + 1]
+            if not a or not b:
                 continue
-            words = len(lines[i].split())
-            # cells are short: few blanks between delimiters; prose has many words for each comma
-            if words > 3 * (n + 1):
-                continue
-            near = [counts[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-            if any(abs(m - n) <= 1 and m >= least for m in near) or (n >= 4 and words <= 2.5 * (n + 1)):
-                found[i] = True
+            together = len(set(a) & set(b))
+            for k in (i, i + 1):
+                n = len(spots[k])
+                # cells are short: prose has many words for each of its marks
+                if found[k] or words[k] > 3 * (n + 1):
+                    continue
+                if (together * 2 > n and words[k] <= 2 * (n + 1)) or (n >= 2 and abs(len(a) - len(b)) <= 1) or (n == 1 and len(a) == len(b) and words[k] <= 4):
+                    found[k] = True
     return found
 
 
-def _autocorrelation(lengths: list[int]) -> float:
-    """Of the lengths of successive lines."""
+def first_shapes(lines: list[str]) -> list[str | None]:
+    """The shape of what each line begins with, where the line beside it, or the one after that, begins alike."""
+    shapes = [(m.lastgroup + (m.group("mark") or "")) if (m := _FIRST.match(x)) else None for x in lines]
+    n = len(shapes)
+    return [s if s and any(0 <= j < n and shapes[j] and shapes[j][:4] == s[:4] for j in (i - 2, i - 1, i + 1, i + 2)) else None for i, s in enumerate(shapes)]
+
+
+def indent_period(lines: list[str]) -> tuple[int, list[bool]]:
+    """(the step of indentation, 0 for none; the lines whose indentation is a multiple of it, beside other multiples)."""
+    depth = [len(x) - len(x.lstrip()) for x in lines]
+    changes = Counter(abs(b - a) for a, b in zip(depth, depth[1:]) if a != b)
+    step = min((d for d, n in changes.items() if n >= 2), default=0) if sum(changes.values()) >= 2 else 0
+    if not step:
+        return 0, [False] * len(lines)
+    n = len(depth)
+    return step, [d % step == 0 and any(0 <= j < n and depth[j] != d and (depth[j] - d) % step == 0 for j in (i - 2, i - 1, i + 1, i + 2)) for i, d in enumerate(depth)]
+
+
+def autocorrelation(lengths: list[int]) -> float:
+    """The largest one of the lengths of lines over PERIODS; 1 if all are equal, 0 for fewer than 6 lines."""
     n = len(lengths)
-    if n < 4:
+    if n < 6:
         return 0.0
     mean = sum(lengths) / n
-    spread = sum((x - mean) ** 2 for x in lengths)
+    off = [x - mean for x in lengths]
+    spread = sum(x * x for x in off)
     if not spread:
         return 1.0
-    return sum((a - mean) * (b - mean) for a, b in zip(lengths, lengths[1:])) / spread
+    return max(sum(a * b for a, b in zip(off, off[k:])) / spread * n / (n - k) for k in PERIODS)
 
 
 class Profiler:
@@ -72,96 +100,111 @@ class Profiler:
     def __init__(self, common: dict[str, list[str]] = COMMON) -> None:
         self.common = frozenset(w for words in common.values() for w in words)
 
-    def _common_share(self, text: str) -> float:
-        tokens = text.split()
-        if not tokens:
-            return 0.0
-        common = self.common
-        hits = symbols = 0
+    def _counts(self, line: str) -> tuple[int, int, int]:
+        """(tokens, common words, tokens of symbols)."""
+        common, hits, symbols = self.common, 0, 0
+        tokens = line.split()
         for token in tokens:
-            if _SYMBOLS.search(token):
+            if _SYMBOL.search(token):
                 symbols += 1
             if len(token) <= 40:  # a word with its apostrophes and marks, no longer run of characters
+                if token.lower() in common:
+                    hits += 1
+                    continue
                 parts = _WORD.findall(token.lower())
                 if len(parts) <= 3 and any(w in common for w in parts):
                     hits += 1
-        return (hits - 0.5 * symbols) / len(tokens)
-
-    def _is_prose(self, text: str) -> bool:
-        words = [w.lower() for w in _WORD.findall(text)]
-        if len(words) < 3:
-            return False
-        if sum(map(len, words)) / len(words) < 2:  # letters set apart
+        return len(tokens), hits, symbols
+
+    @staticmethod
+    def _share(counts: tuple[int, int, int]) -> float:
+        n, hits, symbols = counts
+        return (hits - 0.5 * symbols) / n if n else 0.0
+
+    @staticmethod
+    def _varied(lines: list[str]) -> bool:
+        """Whether words come in ever new pairs, in most windows of a fixed number of words, and have letters."""
+        words = [w.lower() for x in lines for w in _WORD.findall(x)]
+        if len(words) < 3 or sum(map(len, words)) < 2 * len(words):
             return False
-        if len(words) >= 12:
-            pairs = Counter(zip(words, words[1:]))
-            if len(pairs) < 0.12 * min(len(words), 200):  # the same words again and again
-                return False
-        return self._common_share(text) >= COMMON_SHARE
+        dull = windows = 0
+        for lo in range(0, len(words), REPEATED_WINDOW):
+            part = words[lo : lo + REPEATED_WINDOW]
+            if len(part) >= 12:
+                windows += 1
+                dull += len(set(zip(part, part[1:]))) < REPEATED_SHARE * len(part)
+        return dull * 2 <= windows
 
     def profile(self, text: str) -> tuple:
         lines = [x for x in text.splitlines() if x.strip()]
+        n = len(lines)
         words = _WORD.findall(text)
         letters = sum(map(len, words))
         dense = len(text) - sum(map(str.isspace, text))
         digits = sum(map(str.isdigit, text))
-        tokens = text.split()
-        tables = _tables(lines)
-        lists = [bool(_LIST.match(x)) for x in lines]
-        code = [bool(_CODE.search(x)) for x in lines]
+        counts = [self._counts(x) for x in lines]
+        tables = aligned_lines(lines)
+        firsts = first_shapes(lines)
+        step, stepped = indent_period(lines)
+        lengths = [len(x) for x in lines]
+        periodic = autocorrelation(lengths) >= CORRELATED
         seen = Counter(x.strip() for x in lines)
-        repeated = [seen[x.strip()] > 2 for x in lines]
-        indent = [len(x) - len(x.lstrip()) for x in lines]
-        # a list shows in several items, by marker or by steps of indentation
-        listed = sum(lists) >= 2
-        prose, stretch = 0, []
-        last = len(lines)
-        for i in range(last + 1):
-            structured = i < last and (tables[i] or repeated[i] or (lists[i] and listed) or (code[i] and not self._is_prose(lines[i])))
-            if i < last and not structured:
-                # short lines under each other without common words are a list without markers
-                stretch.append(lines[i])
-                continue
+        prose, repeated, listed = 0, 0, 0
+        stretch: list[int] = []
+        for i in range(n + 1):
+            if i < n:
+                tokens, _, symbols = counts[i]
+                own = self._share(counts[i])
+                again = seen[lines[i].strip()] > 2
+                repeated += again
+                in_list = firsts[i] is not None or (stepped[i] and own < COMMON_SHARE)
+                listed += in_list
+                structured = tables[i] or again or in_list or (symbols >= SYMBOL_SHARE * tokens and own < COMMON_SHARE) or (periodic and own < COMMON_SHARE / 2)
+                if not structured:
+                    stretch.append(i)
+                    continue
             if stretch:
-                block = "\n".join(stretch)
-                if self._is_prose(block):
-                    prose += self._prose_lines(stretch)
+                prose += self._prose(lines, counts, stretch)
                 stretch = []
-            if structured and lists[i] and self._is_prose(_LIST.sub("", lines[i], 1)) and lines[i].rstrip().endswith(_END) and len(lines[i].split()) > 6:
-                prose += len(lines[i])  # an enumeration of sentences
-        size = sum(map(len, lines)) or 1
-        n = len(lines) or 1
-        common = sum(w.lower() in self.common for w in words)
+            if i < n and tokens >= SENTENCE_TOKENS and own >= COMMON_SHARE and lines[i].rstrip().endswith(_END) and not again and self._varied([lines[i]]):
+                prose += lengths[i]  # a sentence of its own within a list or table
+        n = n or 1
         return (
             len(words),
             letters / len(words) if words else 0.0,
             (dense - letters - digits) / dense if dense else 0.0,
             sum(x.rstrip().endswith(_END) for x in lines) / n,
-            common / len(words) if words else 0.0,
+            sum(w.lower() in self.common for w in words) / len(words) if words else 0.0,
             sum(tables) / n,
-            sum(a or b > 0 and not t for a, b, t in zip(lists, indent, tables)) / n,
-            sum(repeated) / n,
-            _autocorrelation([len(x) for x in lines]),
-            prose / size,
+            listed / n,
+            repeated / n,
+            autocorrelation(lengths),
+            step,
+            prose / (sum(lengths) or 1),
         )
 
-    def _prose_lines(self, lines: list[str]) -> int:
-        """Characters of a prose stretch, without the lines in it that alone hold no common word."""
-        if len(lines) == 1:
-            return len(lines[0])
-        total = 0
-        plain = [self._common_share(x) for x in lines]
-        for i, x in enumerate(lines):
-            around = plain[max(0, i - 1) : i + 2]
-            if plain[i] > 0.1 or (max(around) > 0.25 and plain[i] >= 0 and len(x.split()) > 4):
-                total += len(x)
-        return total
+    def _prose(self, lines: list[str], counts: list[tuple[int, int, int]], stretch: list[int]) -> int:
+        """Characters of prose in a stretch: all but lines without common words whose neighbours have few."""
+        total = tuple(sum(counts[i][k] for i in stretch) for k in range(3))
+        if self._share(total) < COMMON_SHARE or not self._varied([lines[i] for i in stretch]):
+            return 0
+        if len(stretch) == 1:
+            return len(lines[stretch[0]])
+        own = [self._share(counts[i]) for i in stretch]
+        size = 0
+        for k, i in enumerate(stretch):
+            if own[k] > 0.1 or (max(own[max(0, k - 1) : k + 2]) > 0.25 and own[k] >= 0 and counts[i][0] > 4):
+                size += len(lines[i])
+        return size
+
+
+EMPTY = tuple(0 if c in ("words", "indent_period") else 0.0 for c in COLUMNS)
 
 
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     profiler = Profiler()
     for pdf in batches:
-        rows = [profiler.profile(x) if x else (0,) + (0.0,) * (len(COLUMNS) - 1) for x in pdf["text"]]
+        rows = [profiler.profile(x) if x else EMPTY for x in pdf["text"]]
         out = pd.DataFrame(rows, columns=list(COLUMNS))
         out.insert(0, "doc", pdf["doc"].to_numpy())
         out["blank"] = [not x or not x.strip() for x in pdf["text"]]
@@ -174,7 +217,7 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Null, empty and blank texts have 0 in all statistics and are blank. Texts of any length are read
     whole. Rows repeat as they come, null ids too. Other columns are ignored. No shuffle.
     """
-    types = ", ".join(f"{c} {'int' if c == 'words' else 'double'}" for c in COLUMNS)
+    types = ", ".join(f"{c} {'int' if c in ('words', 'indent_period') else 'double'}" for c in COLUMNS)
     rows = documents.selectExpr(f"cast(`{doc_id}` as long) as doc", f"`{text}` as text")
     return rows.mapInPandas(_run, f"doc long, {types}, blank boolean").withColumnRenamed("doc", doc_id)
 
