@@ -26,9 +26,10 @@ def fold_changes(
 
     base: rows (key, after) known before the feed; they hold where the feed has no edit of the key.
     An edit is one distinct (key, before, after, session), nulls being equal, however often and with
-    whatever other columns it comes. If all edits of a key form a closed walk, its end is the state
-    with the longest time from first being left to last being reached, then the later, then the
-    larger state. Rows with a null key are left out; a null ts counts as unknown; edits that change
+    whatever other columns it comes. If all edits of a key form a closed walk, it ends where it
+    began: at the base row's state if there is one; else at null (no record) if the walk passes
+    through null, as a key that no base row knows begins without a record; else at the state with the
+    longest time from first being left to last being reached, then the later, then the larger state. Rows with a null key are left out; a null ts counts as unknown; edits that change
     nothing (before = after) leave the state as it is. Empty feeds give the base, if any.
     """
     k = F.col(key).alias("k")
@@ -51,8 +52,12 @@ def fold_changes(
     if base is not None:
         rows = base.where(F.col(key).isNotNull()).select(k, F.col(after).alias("state"), F.lit(0).alias("w"), null_time.alias("came"), null_time.alias("left"))
         steps = steps.unionByName(rows)
-    states = steps.groupBy("k", "state").agg(F.sum("w").alias("net"), F.max("came").alias("came"), F.min("left").alias("left"), F.count(F.when(F.col("w") > 0, 1)).alias("edits"))
-    best = F.max(F.struct("net", (F.col("came") - F.col("left")).alias("span"), "came", F.when(F.col("state").isNull(), "delete").otherwise("upsert").alias("op"), "state"))
+    states = steps.groupBy("k", "state").agg(
+        F.sum("w").alias("net"), F.max("came").alias("came"), F.min("left").alias("left"), F.count(F.when(F.col("w") > 0, 1)).alias("edits"), F.max((F.col("w") == 0).cast("int")).alias("known")
+    )
+    # the sequence: arrivals less departures; where all are equal, the place at which the walk began
+    home = F.col("known") * 2 + F.col("state").isNull().cast("int")
+    best = F.max(F.struct("net", home.alias("home"), (F.col("came") - F.col("left")).alias("span"), "came", F.when(F.col("state").isNull(), "delete").otherwise("upsert").alias("op"), "state"))
     return states.groupBy("k").agg(best.alias("best"), F.sum("edits").alias("edits")).select(F.col("k").alias(key), F.col("best.op").alias("op"), F.col("best.state").alias("state"), "edits")
 
 

@@ -95,11 +95,14 @@ d AS (
 _P2 = """
 WITH e AS (SELECT path, prev_hash, new_hash, session_id, min(ts) AS t FROM file_edits WHERE path IS NOT NULL
            GROUP BY path, prev_hash, new_hash, session_id),
-s AS (SELECT path, new_hash AS h, 1 AS w, t AS came, NULL AS gone FROM e
-      UNION ALL SELECT path, prev_hash, -1, NULL, t FROM e),
-n AS (SELECT path, h, sum(w) AS w, max(came) - min(gone) AS span, max(came) AS came FROM s GROUP BY path, h),
-k AS (SELECT path, h, row_number() OVER (PARTITION BY path ORDER BY w DESC, span DESC NULLS LAST, came DESC NULLS LAST,
-      (h IS NOT NULL) DESC, h DESC) AS rn FROM n)
+came AS (SELECT path, new_hash AS h, count(*) AS n, max(t) AS t FROM e GROUP BY path, new_hash),
+gone AS (SELECT path, prev_hash AS h, count(*) AS n, min(t) AS t FROM e GROUP BY path, prev_hash),
+-- the end of an open walk: reached once more than left
+open AS (SELECT c.path, c.h FROM came c LEFT JOIN gone g ON c.path = g.path AND c.h IS NOT DISTINCT FROM g.h WHERE c.n > coalesce(g.n, 0)),
+-- a closed walk ends where it began: without a file if it ever is without one, else by its times
+closed AS (SELECT c.path, c.h, row_number() OVER (PARTITION BY c.path ORDER BY (c.h IS NULL) DESC, c.t - g.t DESC NULLS LAST, c.t DESC NULLS LAST, c.h DESC) AS rn
+           FROM came c JOIN gone g ON c.path = g.path AND c.h IS NOT DISTINCT FROM g.h WHERE c.path NOT IN (SELECT path FROM open)),
+k AS (SELECT path, h FROM open UNION ALL SELECT path, h FROM closed WHERE rn = 1)
 """
 _P4 = """
 WITH l AS (SELECT label, row_number() OVER (ORDER BY max(taken_at) DESC, label DESC) AS age FROM snapshot_labels
@@ -139,8 +142,8 @@ _P6 = "WITH r AS (SELECT id, max(name) AS name, max(file) AS file FROM refs WHER
 ORACLE: dict[str, str] = {
     "p1_found": _P1 + "SELECT l.label, d.file, d.name, d.kind, d.change_kind FROM d JOIN l ON d.pos = l.pos",
     "p1_summary": _P1 + "SELECT l.label, d.change_kind, count(*) AS records FROM d JOIN l ON d.pos = l.pos GROUP BY l.label, d.change_kind",
-    "p2_found": _P2 + "SELECT path, h AS hash FROM k WHERE rn = 1 AND h IS NOT NULL",
-    "p2_tombstones": _P2 + "SELECT k.path, count(*) AS edits FROM k JOIN e ON k.path = e.path WHERE k.rn = 1 AND k.h IS NULL GROUP BY k.path",
+    "p2_found": _P2 + "SELECT path, h AS hash FROM k WHERE h IS NOT NULL",
+    "p2_tombstones": _P2 + "SELECT k.path, count(*) AS edits FROM k JOIN e ON k.path = e.path WHERE k.h IS NULL GROUP BY k.path",
     "p4_found": _P4 + "SELECT src_table, ref_id, state FROM found",
     "p4_by_month": _P4
     + """, seen AS (SELECT path, max(indexed_at) AS t FROM files GROUP BY path),
