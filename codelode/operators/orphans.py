@@ -1,13 +1,18 @@
 """Problem 4: references to records that do not exist.
 
-Parent keys are cut into ranges of their 64-bit fingerprints and kept as one sorted array per
+Parent keys are cut into ranges of their 64-bit fingerprints and kept as sorted arrays, one per
 range. References are first combined to distinct keys (a key with a third of all references is
-probed once), sent to the ranges and looked up by binary search, a batch at a time. Only keys that
-miss go back to the references.
+probed once) and put into the same ranges; there are as many as the larger side needs, so a range
+holds a bounded number of keys of both sides however few parents there are. A task walks through its
+ranges with one array in hand and looks up batches of references by binary search. Only keys that
+miss go back to the references; those that many references share go back by broadcast, as there can
+only be a bounded number of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +23,7 @@ from codelode.plans.scratch import cut
 from codelode.plans.sizing import parts_for, small_side
 
 KEYS_PER_RANGE = 100_000
+HOT_PARTS = 1024
 HERE, BEFORE = 1, 2  # flags of a parent key: it exists now; it existed before
 
 _PROBED = "k1 long, k2 long, flags int, born double, died double"
@@ -33,13 +39,12 @@ def _keys(space: Column, key: Column) -> list[Column]:
     return [fingerprint(space, key, salt=1).alias("k1"), fingerprint(space, key, salt=2).alias("k2")]
 
 
-def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
+def _lookup(refs: pd.DataFrame, parents: tuple[np.ndarray, ...] | None) -> pd.DataFrame:
+    """Those of refs that miss among the parents (k1, k2, flags, born, died), which are sorted by k1."""
     k1, k2 = refs["k1"].to_numpy(np.int64), refs["k2"].to_numpy(np.int64)
     flags, born, died = np.zeros(len(refs), np.int32), np.full(len(refs), np.nan), np.full(len(refs), np.nan)
-    if len(parents):
-        row = parents.iloc[0]
-        p1, p2 = np.asarray(row["p1"], np.int64), np.asarray(row["p2"], np.int64)
-        pf, pb, pd_ = np.asarray(row["flags"], np.int32), np.asarray(row["born"], float), np.asarray(row["died"], float)
+    if parents is not None:
+        p1, p2, pf, pb, pd_ = parents
         at = np.searchsorted(p1, k1, "left")
         while True:  # several parents may share k1; they follow each other
             inside = np.minimum(at, len(p1) - 1)
@@ -55,6 +60,24 @@ def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k1": k1[miss], "k2": k2[miss], "flags": flags[miss], "born": born[miss], "died": died[miss]})
 
 
+def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (range, is a reference): the array of a range comes before the references to it."""
+    held, parents = None, None
+    for pdf in batches:
+        ranges, asks = pdf["range"].to_numpy(np.int64), pdf["ask"].to_numpy(bool)
+        heads = np.flatnonzero(np.concatenate(([True], (ranges[1:] != ranges[:-1]) | ~asks[1:]))) if len(pdf) else np.zeros(0, np.int64)
+        for a, b in zip(heads, [*heads[1:], len(pdf)]):
+            part = pdf.iloc[a:b]
+            if ranges[a] != held:
+                held, parents = ranges[a], None
+            if not asks[a]:
+                row = part.iloc[0]
+                parents = tuple(np.asarray(row[c], t) for c, t in (("p1", np.int64), ("p2", np.int64), ("pf", np.int32), ("pb", float), ("pd", float)))
+                part = part.iloc[1:]
+            if len(part):
+                yield _lookup(part, parents)
+
+
 def orphan_references(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
     """The rows of refs (k1, k2, at, ...) whose key misses, with its state.
 
@@ -62,17 +85,24 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys_per_range: int =
     if the key was there before or `at` is after its end, or `late` if `at` is before its begin. A
     null `at` is neither before nor after anything. Empty parents make every reference missing.
     """
-    known = parents.groupBy("k1", "k2").agg(F.bit_or("flags").alias("flags"), F.max("born").alias("born"), F.max("died").alias("died"))
-    known = cut(known)
-    asked = refs.groupBy("k1", "k2").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    ranges = parts_for(known.count(), keys_per_range, most=1 << 20)
+    known = cut(parents.groupBy("k1", "k2").agg(F.bit_or("flags").alias("flags"), F.max("born").alias("born"), F.max("died").alias("died")))
+    asked = cut(refs.groupBy("k1", "k2").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")))
+    sizes = asked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranges = parts_for(max(known.count(), sizes[0]), keys_per_range, most=1 << 30)
     # the order of unsigned fingerprints, cut into equal ranges
     in_range = F.shiftright(F.shiftrightunsigned("k1", 33) * F.lit(ranges).cast("long"), 31).alias("range")
-    arrays = known.groupBy(in_range).agg(F.sort_array(F.collect_list(F.struct(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "flags", "born", "died"))).alias("a"))
-    arrays = arrays.select("range", "a.p1", "a.p2", "a.flags", F.transform("a.born", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("born"), F.transform("a.died", lambda x: F.coalesce(x, F.lit(float("nan")))).alias("died"))
-    probed = asked.select(in_range, "k1", "k2", "low", "high").groupBy("range").cogroup(arrays.groupBy("range")).applyInPandas(lambda a, b: _probe(a, b), _PROBED)
-    misses = cut(probed)
-    back = refs.join(small_side(misses), ["k1", "k2"])
+    nan = F.lit(float("nan"))
+    arrays = known.groupBy(in_range).agg(F.sort_array(F.collect_list(F.struct(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("flags").alias("pf"), F.coalesce("born", nan).alias("pb"), F.coalesce("died", nan).alias("pd")))).alias("a"))
+    # no null among the keys: pandas would turn them into doubles
+    arrays = arrays.select("range", F.lit(False).alias("ask"), *(F.lit(0).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "long"), ("low", "double"), ("high", "double"))), *(F.col(f"a.{c}").alias(c) for c in ("p1", "p2", "pf", "pb", "pd")))
+    asks = asked.select(in_range, F.lit(True).alias("ask"), "k1", "k2", "low", "high", *(F.lit(None).cast(t).alias(c) for c, t in (("p1", "array<long>"), ("p2", "array<long>"), ("pf", "array<int>"), ("pb", "array<double>"), ("pd", "array<double>"))))
+    misses = cut(arrays.unionByName(asks).repartition("range").sortWithinPartitions("range", "ask").mapInPandas(_probe, _PROBED))
+    counted = cut(misses.join(asked.select("k1", "k2", "n"), ["k1", "k2"]))
+    # a hot miss has at least 1 / HOT_PARTS of all references, so there are at most HOT_PARTS of them
+    most = max(sizes[1] // HOT_PARTS, 1000)
+    hot = F.broadcast(counted.where(F.col("n") >= most).drop("n"))
+    cold = small_side(counted.where(F.col("n") < most).drop("n"))
+    back = refs.join(hot, ["k1", "k2"]).unionByName(refs.join(cold, ["k1", "k2"]))
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
     state = (
         F.when(F.col("flags") == 0, "missing")
@@ -101,9 +131,9 @@ def _target_key(target: Column) -> Column:
 def index_parents(symbol_snapshots: DataFrame, snapshot_labels: DataFrame, files: DataFrame, file_lifeline: DataFrame) -> DataFrame:
     """All keys that references of an index can mean. Null keys are no parents; repeated rows change nothing."""
     order = cut(ordered_labels(snapshot_labels))
-    newest = order.agg(F.max("pos").alias("newest"))
-    order = small_side(order.join(F.broadcast(newest), order["pos"] <= newest["newest"]))  # one row
-    flag = F.when(F.col("pos") == F.col("newest"), HERE).otherwise(BEFORE)
+    newest = order.agg(F.max("pos")).first()[0] or 0
+    order = small_side(order)
+    flag = F.when(F.col("pos") == newest, HERE).otherwise(BEFORE)
     symbols = symbol_snapshots.select("label", "file", "name").join(order, "label").select("file", "name", flag.alias("flag"))
     symbols = symbols.groupBy("file", "name").agg(F.bit_or("flag").alias("flag"))
     names = symbols.where("name is not null").select(*parent_keys("name", F.col("name"), F.col("flag")))
