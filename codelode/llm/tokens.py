@@ -30,14 +30,11 @@ HOT_PARTS = 256
 _JOINT = re.compile(r"(?<=\S)[ \n]")
 _TAIL = 32
 
-#: The word pattern of the byte_bpe_50k vocabulary; a fixed value of that public tokenizer.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 @functools.lru_cache(maxsize=4)
 def encoder(path: str):
     """tiktoken's encoding of a file of ranks; once per process."""
     import tiktoken
+    from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
@@ -167,7 +164,8 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     none = rows.where("text is null or text = ''").select("doc", F.array().cast("array<int>").alias("ids")).distinct()
     full = rows.where("text <> ''").select("doc", F.xxhash64("text").alias("key"), "text")
     h1, h2 = fingerprint128(F.col("text"))
-    placed = full.mapInPandas(_chunker, "doc long, key long, seq int, text string").select("doc", "key", "seq", h1.alias("h1"), h2.alias("h2"), "text")
+    # written once: the distinct chunks and the places of all chunks are both read from it
+    placed = cut(full.mapInPandas(_chunker, "doc long, key long, seq int, text string").select("doc", "key", "seq", h1.alias("h1"), h2.alias("h2"), "text"))
     distinct = placed.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     encoded = cut(distinct.mapInPandas(_encode(path), "h1 long, h2 long, n long, solid boolean, head string, middle binary, tail string"))
     places = placed.select("doc", "key", "seq", "h1", "h2")
