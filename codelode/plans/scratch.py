@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_chosen: dict[str, str] = {}  # the folder of an application whose session names none
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="codelode-")
         spark.sparkContext._jsc.sc().setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)
+        _chosen[spark.sparkContext.applicationId] = folder
         _written.append((spark, folder))
     return folder
 
@@ -40,16 +44,38 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may already be gone
+        pass
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, the tables cut within it; use it around building and writing a result.
+
+    A result is read lazily from its tables, so it has to be written or collected within the scope.
+    Without one the tables stay until the driver exits.
+    """
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > begin:
+            spark, path = _written.pop()
+            if path.rsplit("/", 1)[-1].startswith("codelode-") and path != _chosen.get(spark.sparkContext.applicationId):
+                _delete(spark, path)
+            else:
+                _written.insert(begin, (spark, path))
+                begin += 1
+
+
 def sweep() -> None:
     """Deletes the tables written by this driver."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may already be gone
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(sweep)
