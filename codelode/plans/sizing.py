@@ -16,3 +16,14 @@ def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROW
 def parts_for(rows: int, per_part: int, least: int = 1, most: int = 100_000) -> int:
     """How many groups of about per_part rows the rows make."""
     return max(least, min(most, -(-rows // per_part)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a scan of few files gives fewer tasks than there are cores; else as it is. For CPU-heavy Python stages."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """df exchanged by key into as many partitions as the session names, which adaptive execution doesn't merge: for joins whose result feeds CPU-heavy Python."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
