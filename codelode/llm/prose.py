@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codelode.plans.sizing import spread
+
 #: Common words by language, chosen for this module.
 COMMON = {
     "en": "the of and to in a is it that for on was with as be by this are not have has had but at from they which or an we you he its there been were will would can may if than then them what when where who how all no do does did so about into after before because both only other one two up out any each most now yet i my us me until while".split(),
@@ -31,10 +33,12 @@ SYMBOL_SHARE = 0.5  # of the tokens of a line that is code or output
 SENTENCE_TOKENS = 7  # a line within a list or table is a sentence from so many tokens on
 PERIODS = (1, 2, 3, 4)  # lags of the autocorrelation of line lengths
 CORRELATED = 0.6
+MARKS_HELD = 100_000  # tokens whose marks a process remembers
 REPEATED_WINDOW, REPEATED_SHARE = 100, 0.2  # words; distinct pairs of words in a window of prose
 COLUMNS = ("words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "table_lines", "list_lines", "repeated_lines", "line_autocorrelation", "indent_period", "prose_share")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
 _SYMBOL = re.compile(r"[=(){}\[\]<>|\\;_*+^~$#@&%`\"]|^\W+$|^\d[\d.,:%-]*$")
 _END = tuple(".!?:;…。")
 _DELIMITERS = {"|": re.compile(r"\|"), "tab": re.compile(r"\t"), ";": re.compile(";"), ",": re.compile(","), ":": re.compile(r":(?=\s|$)"), "=": re.compile("="), "gap": re.compile(r"(?<=\S) {2,}(?=\S)"), "dots": re.compile(r"\.{3,}")}
@@ -46,7 +50,10 @@ def aligned_lines(lines: list[str]) -> list[bool]:
     """Lines whose delimiters stand in columns of a line beside them, or divide it in as many short cells."""
     found = [False] * len(lines)
     words = [len(x.split()) for x in lines]
+    whole = "\n".join(lines)
     for rx in _DELIMITERS.values():
+        if not rx.search(whole):
+            continue
         spots = [[m.start() for m in rx.finditer(x)] for x in lines]
         for i in range(len(lines) - 1):
             a, b = spots[i], spots[i + 1]
@@ -99,22 +106,26 @@ class Profiler:
 
     def __init__(self, common: dict[str, list[str]] = COMMON) -> None:
         self.common = frozenset(w for words in common.values() for w in words)
+        self._marks: dict[str, int] = {}
+
+    def _mark(self, token: str) -> int:
+        """1 for a token with a common word, 2 for one of symbols, 3 for both; most tokens come again and again."""
+        mark = 2 if _SYMBOL.search(token) else 0
+        if len(token) <= 40:  # a word with its apostrophes and marks, no longer run of characters
+            parts = _WORD.findall(token.lower())
+            if len(parts) <= 3 and any(w in self.common for w in parts):
+                mark |= 1
+        if len(self._marks) >= MARKS_HELD:
+            self._marks.clear()
+        self._marks[token] = mark
+        return mark
 
     def _counts(self, line: str) -> tuple[int, int, int]:
         """(tokens, common words, tokens of symbols)."""
-        common, hits, symbols = self.common, 0, 0
-        tokens = line.split()
-        for token in tokens:
-            if _SYMBOL.search(token):
-                symbols += 1
-            if len(token) <= 40:  # a word with its apostrophes and marks, no longer run of characters
-                if token.lower() in common:
-                    hits += 1
-                    continue
-                parts = _WORD.findall(token.lower())
-                if len(parts) <= 3 and any(w in common for w in parts):
-                    hits += 1
-        return len(tokens), hits, symbols
+        known, tokens = self._marks, line.split()
+        marks = [known[t] if t in known else self._mark(t) for t in tokens]
+        both = marks.count(3)
+        return len(tokens), marks.count(1) + both, marks.count(2) + both
 
     @staticmethod
     def _share(counts: tuple[int, int, int]) -> float:
@@ -124,7 +135,7 @@ class Profiler:
     @staticmethod
     def _varied(lines: list[str]) -> bool:
         """Whether words come in ever new pairs, in most windows of a fixed number of words, and have letters."""
-        words = [w.lower() for x in lines for w in _WORD.findall(x)]
+        words = _WORD.findall("\n".join(lines).lower())
         if len(words) < 3 or sum(map(len, words)) < 2 * len(words):
             return False
         dull = windows = 0
@@ -138,10 +149,10 @@ class Profiler:
     def profile(self, text: str) -> tuple:
         lines = [x for x in text.splitlines() if x.strip()]
         n = len(lines)
-        words = _WORD.findall(text)
+        words = _WORD.findall(text.lower())
         letters = sum(map(len, words))
-        dense = len(text) - sum(map(str.isspace, text))
-        digits = sum(map(str.isdigit, text))
+        dense = sum(map(len, text.split()))
+        digits = sum(map(len, _DIGITS.findall(text)))
         counts = [self._counts(x) for x in lines]
         tables = aligned_lines(lines)
         firsts = first_shapes(lines)
@@ -174,7 +185,7 @@ class Profiler:
             letters / len(words) if words else 0.0,
             (dense - letters - digits) / dense if dense else 0.0,
             sum(x.rstrip().endswith(_END) for x in lines) / n,
-            sum(w.lower() in self.common for w in words) / len(words) if words else 0.0,
+            sum(map(self.common.__contains__, words)) / len(words) if words else 0.0,
             sum(tables) / n,
             listed / n,
             repeated / n,
@@ -215,10 +226,11 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """One row per row: statistics of COLUMNS, and `blank`.
 
     Null, empty and blank texts have 0 in all statistics and are blank. Texts of any length are read
-    whole. Rows repeat as they come, null ids too. Other columns are ignored. No shuffle.
+    whole. Rows repeat as they come, null ids too. Other columns are ignored. Nothing is shuffled, but
+    an input of fewer files than cores is dealt to all of them.
     """
     types = ", ".join(f"{c} {'int' if c in ('words', 'indent_period') else 'double'}" for c in COLUMNS)
-    rows = documents.selectExpr(f"cast(`{doc_id}` as long) as doc", f"`{text}` as text")
+    rows = spread(documents.selectExpr(f"cast(`{doc_id}` as long) as doc", f"`{text}` as text"))
     return rows.mapInPandas(_run, f"doc long, {types}, blank boolean").withColumnRenamed("doc", doc_id)
 
 
