@@ -210,37 +210,50 @@ class Table:
         return True
 
     def feed(self, stack: list[int], token: int) -> bool:
-        """Shifts a token onto the stack, or says that it can't follow (the stack may be reduced by then)."""
+        """Shifts a token onto the stack, or says that it can't follow and leaves the stack as it is."""
         actions, gotos, rules, known = self.actions, self.gotos, self.rules, self._units
-        while True:
-            top = stack[-1]
-            a = actions[top].get(token)
-            if a is None:
-                return False
-            if a > 0:
+        a = actions[stack[-1]].get(token)
+        if a is None:
+            return False
+        if a >= 0:
+            if a:
                 stack.append(a)
-                return True
-            if a == 0:
-                return True
+            return True
+        low, over = len(stack), []  # what is left of the stack, and what lies on it
+        while a < 0:
             n, head = rules[-a - 1]
             if n == 1:
                 # a chain of rules with one symbol ends in the same state whenever it begins alike
-                below = stack[-2]
+                if over:
+                    top = over.pop()
+                else:
+                    low -= 1
+                    top = stack[low]
+                below = over[-1] if over else stack[low - 1]
                 key = (below, top, token)
                 to = known.get(key)
                 if to is None:
-                    to, b = gotos[below][head], a
-                    while True:
-                        b = actions[to].get(token)
-                        if b is None or b >= 0 or rules[-b - 1][0] != 1:
-                            break
+                    to = gotos[below][head]
+                    while (b := actions[to].get(token)) is not None and b < 0 and rules[-b - 1][0] == 1:
                         to = gotos[below][rules[-b - 1][1]]
                     known[key] = to
-                stack[-1] = to
-                continue
-            if n:
-                del stack[-n:]
-            stack.append(gotos[stack[-1]][head])
+                over.append(to)
+            else:
+                if n <= len(over):
+                    if n:
+                        del over[-n:]
+                else:
+                    low -= n - len(over)
+                    over.clear()
+                over.append(gotos[over[-1] if over else stack[low - 1]][head])
+            a = actions[over[-1]].get(token)
+            if a is None:
+                return False
+        del stack[low:]
+        stack += over
+        if a:
+            stack.append(a)
+        return True
 
     def first_error(self, tokens: list[int]) -> int:
         """Index of the first token that can't follow, len(tokens) for a premature end, -1 if all is well."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codelode.plans.sizing import by_key
+
 EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "ts": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "json": "json", "css": "css"}
 
 
@@ -21,6 +23,7 @@ def with_language(texts: DataFrame, files: DataFrame) -> DataFrame:
     texts are unique by path or repeat exactly (then they come once); null paths are left out.
     """
     last = F.max(F.when(F.col("lang").isNotNull(), F.struct(F.coalesce(F.col("indexed_at"), F.lit(0.0)).alias("t"), F.col("lang").alias("lang"))))
-    said = files.where("path is not null").groupBy("path").agg(last.alias("x")).select("path", F.col("x.lang").alias("said"))
-    rows = texts.where("path is not null").select("path", "text").join(said, "path", "left")
+    said = by_key(files.where("path is not null").select("path", "lang", "indexed_at"), "path").groupBy("path").agg(last.alias("x")).select("path", F.col("x.lang").alias("said"))
+    # both sides by path in the session's number of partitions: lexing and parsing follow in the same tasks
+    rows = by_key(texts.where("path is not null").select("path", "text"), "path").join(said, "path", "left")
     return rows.select("path", "text", language(F.col("said"), F.col("path")).alias("lang"))

@@ -120,9 +120,13 @@ class Reader:
         token = self.ids.get(kind)
         return token is not None and self.table.accepts_next(self.stack, token)
 
-    def shift(self, kind: str) -> None:
-        self.table.feed(self.stack, self.ids[kind])
+    def shift(self, kind: str) -> bool:
+        """Takes a terminal if it can follow."""
+        token = self.ids.get(kind)
+        if token is None or not self.table.feed(self.stack, token):
+            return False
         self.last = kind
+        return True
 
     def first_error(self) -> int:
         text, n, can, shift = self.text, len(self.text), self.can, self.shift
@@ -204,18 +208,16 @@ class Reader:
                 kind, end = "TA>", at + 1
             elif self.ts and mark == "||" and can("|"):
                 return at
-            if not can(kind):
-                if self.ts and can("NOBODY") and (line or kind in (";", "}")):
+            if not shift(kind):
+                if self.ts and (line or kind in (";", "}")):
                     shift("NOBODY")
-                if not can(kind):
-                    if not (line or kind == "}") or not can("AUTO"):
+                if not shift(kind):
+                    if not (line or kind == "}") or not shift("AUTO"):
                         return at
-                    shift("AUTO")
-                    if self.last == "AUTO" and m.lastgroup == "n":
+                    if m.lastgroup == "n":
                         kind = self.word(mark, end, line)
-                    if not can(kind):
+                    if not shift(kind):
                         return at
-            shift(kind)
             at, line = end, False
 
     def fill(self) -> None:

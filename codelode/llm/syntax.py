@@ -8,11 +8,11 @@ those of Python about targets and the places of return, yield, await, break and
 
 from __future__ import annotations
 
-import functools
 import pkgutil
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from codelode.llm import clike, lexers, script
@@ -31,9 +31,18 @@ SCRIPTS = {"javascript": False, "typescript": True}  # read token by token with
 GRAMMARS = frozenset(LANGUAGES) | frozenset(SCRIPTS)
 
 
-@functools.lru_cache(maxsize=None)
+_tables: dict[str, Table] = {}
+
+
 def table(grammar: str) -> Table:
-    return Table(pkgutil.get_data(__package__, f"grammars/{grammar}.grammar").decode())
+    """The automaton of a grammar; built once in a process, or handed over from the driver."""
+    if grammar not in _tables:
+        _tables[grammar] = Table(pkgutil.get_data(__package__, f"grammars/{grammar}.grammar").decode())
+    return _tables[grammar]
+
+
+def all_tables() -> dict[str, Table]:
+    return {g: table(g) for g in {grammar for grammar, _ in LANGUAGES.values()} | {"script"}}
 
 
 def first_error(text: str, lang: str) -> int:
@@ -53,11 +62,16 @@ def first_error(text: str, lang: str) -> int:
     return at if at < 0 else places[at] if at < len(places) else len(text)
 
 
-def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        errors = [first_error(t, g) if g in GRAMMARS else -1 for t, g in zip(pdf["text"], pdf["lang"])]
-        lines = [t.count("\n", 0, e) + 1 if e >= 0 else None for t, e in zip(pdf["text"], errors)]
-        yield pd.DataFrame({"path": pdf["path"], "lang": pdf["lang"], "parsed": [g in GRAMMARS for g in pdf["lang"]], "error_line": pd.array(lines, dtype="Int32")})
+def _parser(handed: Broadcast):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not _tables:
+            _tables.update(handed.value)
+        for pdf in batches:
+            errors = [first_error(t, g) if g in GRAMMARS else -1 for t, g in zip(pdf["text"], pdf["lang"])]
+            lines = [t.count("\n", 0, e) + 1 if e >= 0 else None for t, e in zip(pdf["text"], errors)]
+            yield pd.DataFrame({"path": pdf["path"], "lang": pdf["lang"], "parsed": [g in GRAMMARS for g in pdf["lang"]], "error_line": pd.array(lines, dtype="Int32")})
+
+    return run
 
 
 def parse_files(rows: DataFrame) -> DataFrame:
@@ -68,7 +82,9 @@ def parse_files(rows: DataFrame) -> DataFrame:
     they come. No shuffle.
     """
     rows = rows.where("path is not null and text is not null").select("path", "text", "lang")
-    return rows.mapInPandas(_run, "path string, lang string, parsed boolean, error_line int")
+    # the automata depend on the grammars alone, a few megabytes; workers need not build them again
+    handed = rows.sparkSession.sparkContext.broadcast(all_tables())
+    return rows.mapInPandas(_parser(handed), "path string, lang string, parsed boolean, error_line int")
 
 
 def broken_files(rows: DataFrame) -> DataFrame:
