@@ -140,9 +140,9 @@ def consumer_parser_join(ix):
     return ix.edges.where("type = 'imports'").join(ix.files.select(F.col("path").alias("src"), "parser"), "src", "left").select("src", "dst", "parser")
 
 
-@query(f'SELECT e.id, e.kind, e."at", l.current_path FROM events e JOIN file_lifeline l ON e.lifeline_id = l.id WHERE e.id > 1000', "events")
+@query(f'SELECT e.id, e.kind, e."at", l.current_path FROM events e JOIN file_lifeline l ON e.lifeline_id = l.id WHERE e.id > 0', "events")
 def file_event_tail(ix):
-    return ix.events.where("id > 1000").join(ix.lifelines.select(F.col("id").alias("lifeline_id"), "current_path"), "lifeline_id").select("id", "kind", "at", "current_path")
+    return ix.events.where("id > 0").join(ix.lifelines.select(F.col("id").alias("lifeline_id"), "current_path"), "lifeline_id").select("id", "kind", "at", "current_path")
 
 
 _BODIES = "bodies AS (SELECT file, line, coalesce(lead(line) OVER (PARTITION BY file ORDER BY line) - 1, line + 200) AS end_line, names FROM (SELECT file, line, min(name) AS names FROM symbols WHERE file IS NOT NULL AND line IS NOT NULL GROUP BY file, line))"

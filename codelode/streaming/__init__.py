@@ -1 +1 @@
-
+"""Structured Streaming over the logs of an index."""
