@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
-#: A side is broadcast only if it was counted and has at most so many rows; beyond, the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it was counted and its rows take at most so many bytes; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of a value of varying length (string, binary, array, struct), unless the caller gives the width of its rows.
+VARYING_BYTES = 128
 
 
-def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; rows: the count, where it is known already."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+def row_width(df: DataFrame) -> int:
+    """Bytes of a row: 8 for numbers, times and flags, VARYING_BYTES for other values."""
+    return sum(8 if isinstance(f.dataType, (NumericType, BooleanType, DatetimeType)) else VARYING_BYTES for f in df.schema)
+
+
+def small_side(df: DataFrame, rows: int | None = None, width: int | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows take few bytes; rows: the count, where it is known already; width: bytes of a row."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * (width or row_width(df)) <= most else df
 
 
 def parts_for(rows: int, per_part: int, least: int = 1, most: int = 100_000) -> int:
