@@ -26,7 +26,7 @@ KEYS_PER_RANGE = 100_000
 HOT_PARTS = 1024
 HERE, BEFORE = 1, 2  # flags of a parent key: it exists now; it existed before
 
-_PROBED = "k1 long, k2 long, flags int, born double, died double"
+_PROBED = "k1 long, k2 long, flags int, born double, died double, n long"
 
 
 def parent_keys(space: str, key: Column, flags: Column, born: Column | None = None, died: Column | None = None):
@@ -57,25 +57,27 @@ def _lookup(refs: pd.DataFrame, parents: tuple[np.ndarray, ...] | None) -> pd.Da
     low, high = refs["low"].to_numpy(float), refs["high"].to_numpy(float)
     with np.errstate(invalid="ignore"):
         miss = ((flags & HERE) == 0) | (high > died) | (low < born)
-    return pd.DataFrame({"k1": k1[miss], "k2": k2[miss], "flags": flags[miss], "born": born[miss], "died": died[miss]})
+    return pd.DataFrame({"k1": k1[miss], "k2": k2[miss], "flags": flags[miss], "born": born[miss], "died": died[miss], "n": refs["n"].to_numpy(np.int64)[miss]})
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (range, is a reference): the array of a range comes before the references to it."""
-    held, parents = None, None
+    """Rows sorted by (range, is a reference, k1): the parents of a range come before the references to it."""
+    held, chunks, parents = None, [], None
     for pdf in batches:
+        if not len(pdf):
+            continue
         ranges, asks = pdf["range"].to_numpy(np.int64), pdf["ask"].to_numpy(bool)
-        heads = np.flatnonzero(np.concatenate(([True], (ranges[1:] != ranges[:-1]) | ~asks[1:]))) if len(pdf) else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.concatenate(([True], (ranges[1:] != ranges[:-1]) | (asks[1:] != asks[:-1]))))
         for a, b in zip(heads, [*heads[1:], len(pdf)]):
             part = pdf.iloc[a:b]
             if ranges[a] != held:
-                held, parents = ranges[a], None
+                held, chunks, parents = ranges[a], [], None
             if not asks[a]:
-                row = part.iloc[0]
-                parents = tuple(np.asarray(row[c], t) for c, t in (("p1", np.int64), ("p2", np.int64), ("pf", np.int32), ("pb", float), ("pd", float)))
-                part = part.iloc[1:]
-            if len(part):
-                yield _lookup(part, parents)
+                chunks.append(tuple(part[c].to_numpy(t) for c, t in (("k1", np.int64), ("k2", np.int64), ("flags", np.int32), ("low", float), ("high", float))))
+                continue
+            if chunks:  # the sorted array of the range
+                parents, chunks = tuple(map(np.concatenate, zip(*chunks))), []
+            yield _lookup(part, parents)
 
 
 def orphan_references(refs: DataFrame, parents: DataFrame, keys_per_range: int = KEYS_PER_RANGE) -> DataFrame:
@@ -92,16 +94,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys_per_range: int =
     # the order of unsigned fingerprints, cut into equal ranges
     in_range = F.shiftright(F.shiftrightunsigned("k1", 33) * F.lit(ranges).cast("long"), 31).alias("range")
     nan = F.lit(float("nan"))
-    arrays = known.groupBy(in_range).agg(F.sort_array(F.collect_list(F.struct(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("flags").alias("pf"), F.coalesce("born", nan).alias("pb"), F.coalesce("died", nan).alias("pd")))).alias("a"))
-    # no null among the keys: pandas would turn them into doubles
-    arrays = arrays.select("range", F.lit(False).alias("ask"), *(F.lit(0).cast(t).alias(c) for c, t in (("k1", "long"), ("k2", "long"), ("low", "double"), ("high", "double"))), *(F.col(f"a.{c}").alias(c) for c in ("p1", "p2", "pf", "pb", "pd")))
-    asks = asked.select(in_range, F.lit(True).alias("ask"), "k1", "k2", "low", "high", *(F.lit(None).cast(t).alias(c) for c, t in (("p1", "array<long>"), ("p2", "array<long>"), ("pf", "array<int>"), ("pb", "array<double>"), ("pd", "array<double>"))))
-    misses = cut(arrays.unionByName(asks).repartition("range").sortWithinPartitions("range", "ask").mapInPandas(_probe, _PROBED))
-    counted = cut(misses.join(asked.select("k1", "k2", "n"), ["k1", "k2"]))
+    rows = known.select(in_range, F.lit(False).alias("ask"), "k1", "k2", "flags", F.coalesce("born", nan).alias("low"), F.coalesce("died", nan).alias("high"), F.lit(0).cast("long").alias("n"))
+    rows = rows.unionByName(asked.select(in_range, F.lit(True).alias("ask"), "k1", "k2", F.lit(0).alias("flags"), "low", "high", "n"))
+    misses = cut(rows.repartition("range").sortWithinPartitions("range", "ask", "k1").mapInPandas(_probe, _PROBED))
     # a hot miss has at least 1 / HOT_PARTS of all references, so there are at most HOT_PARTS of them
     most = max(sizes[1] // HOT_PARTS, 1000)
-    hot = F.broadcast(counted.where(F.col("n") >= most).drop("n"))
-    cold = small_side(counted.where(F.col("n") < most).drop("n"))
+    hot = F.broadcast(misses.where(F.col("n") >= most).drop("n"))
+    cold = small_side(misses.where(F.col("n") < most).drop("n"))
     back = refs.join(hot, ["k1", "k2"]).unionByName(refs.join(cold, ["k1", "k2"]))
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
     state = (
