@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _sent:
         return
     root = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="codelode-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="codelode-")  # code only, and the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.suffix in (".py", ".grammar"):

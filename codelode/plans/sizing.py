@@ -27,8 +27,13 @@ def parts_for(rows: int, per_part: int, least: int = 1, most: int = 100_000) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where a scan of few files gives fewer tasks than there are cores; else as it is. For CPU-heavy Python stages."""
+    """df over all cores, where a scan of few files gives fewer tasks than there are cores; else as it is. For CPU-heavy Python stages.
+
+    Only plans without an exchange are looked at, as asking others for their partitions would run them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
