@@ -45,8 +45,10 @@ def _cells(pairs: DataFrame, cells: int, turn: int, last_pos: int, only: DataFra
         (F.pmod(F.xxhash64(F.col("chk"), F.lit(turn * HASHES + j).cast("long")), F.lit(cells)) + j * cells).cast("int")
         for j in range(HASHES)
     ]
+    # one exchange by bucket; the three aggregations below have the bucket among their keys and need no other
     tables = (
-        pairs.withColumn("cell", F.explode(F.array(*spots)))
+        pairs.repartition("bucket")
+        .withColumn("cell", F.explode(F.array(*spots)))
         .withColumn("mix", F.when(F.col("cell") == _DIGEST, F.xxhash64("chk", F.lit(-7).cast("long"))).otherwise(F.col("chk")))
         .groupBy("pos", "bucket", "cell")
         .agg(F.count("*").alias("n"), *(F.bit_xor(c).alias(c) for c in ("k1", "k2", "v", "mix")))
