@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from codelode.functions import paths as P
-from codelode.operators import binding, claims, diffs, extract, graph, integrity, lookups, reports, rewrites
+from codelode.operators import binding, claims, diffs, extract, graph, integrity, lookups, packs, reports, rewrites
 from codelode.sources import listing, notes, patches
 
 
@@ -188,3 +188,18 @@ def test_paths(spark):
     assert value(P.matches_segments(F.lit("p/store.py"), "p/**/*.py")) and value(P.matches_segments(F.lit("p/x/store.py"), "p/**/*.py"))
     assert value(lookups.describe_roles(F.lit(136))) == ["read", "call"]
     assert value(reports.question_shape(F.lit("Who calls `f`?"))) == "who_uses" and value(reports.question_subject(F.lit("Who calls `f`?"))) == "f"
+
+
+def test_packs(spark):
+    paths = spark.createDataFrame([("p/a.py",), ("p/q/b.py",), ("c.js",)], "path string")
+    lifelines = spark.createDataFrame([("l1", "c.js"), ("l2", "gone.js")], "id string, current_path string")
+    skills = spark.createDataFrame([("s1", "py", "p/**/*.py", 1), ("s2", "off", "**", 0), ("s3", "pin", None, 1)], "id string, name string, scope_pattern string, enabled int")
+    pins = spark.createDataFrame([("s3", "l1"), ("s3", "l2"), ("s2", "l1")], "skill_id string, lifeline_id string")
+    assert rows(packs.matching_skills(paths, lifelines, skills, pins), "path", "name", "via") == [("c.js", "pin", "attached"), ("p/a.py", "py", "pattern"), ("p/q/b.py", "py", "pattern")]
+    assert packs.matching_skills(paths, lifelines, skills.limit(0), pins).count() == 0
+    cc = 'SetMethod(context, target, "open", Open);\nSetMethodNoSideEffect(isolate, t, "stat", fs::Stat);\n'
+    assert rows(packs.native_bindings(texts(spark, ("a.cc", cc), ("b.cc", None))), "js_name", "cpp_name") == [("open", "Open"), ("stat", "Stat")]
+    found = spark.createDataFrame([("notes", "2"), ("notes", "1"), ("symbols", "f")], "section string, item string")
+    assert packs.pack_markdown("a.py", found, most=1) == "# a.py\n\n## notes\n- 1\n- and 1 more\n\n## symbols\n- f\n"
+    src = "a\nb\nc\n"
+    assert rows(packs.excerpts(spark.createDataFrame([("x", 2), ("x", 9), ("x", None)], "file string, line int"), texts(spark, ("x", src)), 2, 10), "line", "text") == [(2, "b\nc")]
