@@ -6,7 +6,7 @@ references of a file, however many, are looked up where they lie; no task sorts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 LAST_BODY = 200  # lines below the last definition of a file
 
@@ -22,15 +22,10 @@ def _arrays(symbols: DataFrame) -> DataFrame:
     return bodies(symbols).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "end_line", "name"))).alias("defs"))
 
 
-def _last_before(line: Column) -> Column:
-    """The last definition at or before a line."""
-    return F.element_at(F.filter("defs", lambda d: d["line"] <= line), -1)
-
-
 def preceding(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """The rows (file, line, ...) with name and def_line of the nearest definition at or above their line; nulls if there is none."""
     joined = rows.drop("name").join(_arrays(symbols), "file", "left")
-    found = F.when(F.col("defs").isNotNull() & (F.size(F.filter("defs", lambda d: d["line"] <= F.col("line"))) > 0), _last_before(F.col("line")))
+    found = F.try_element_at(F.filter("defs", lambda d: d["line"] <= F.col("line")), F.lit(-1))  # the last one
     return joined.withColumn("_d", found).select(*(c for c in joined.columns if c != "defs"), F.col("_d.name").alias("name"), F.col("_d.line").alias("def_line"), F.col("_d.end_line").alias("end_line"))
 
 

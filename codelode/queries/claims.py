@@ -46,7 +46,7 @@ def path_line_check(ix):
 
 @query("SELECT id, claim, subject, predicate, object, truth_class, confidence FROM nc", "annotations", _NOTE_CLAIMS)
 def claims_from_evidence(ix):
-    return C.note_claims(ix.annotations)
+    return C.note_claims(ix.once("annotations", "evidence"))
 
 
 @query(
@@ -54,7 +54,7 @@ def claims_from_evidence(ix):
     "annotations", _NOTE_CLAIMS,
 )
 def location_parse(ix):
-    rows = C.note_claims(ix.annotations).where("object is not null").select("claim", F.concat("object", F.when(F.col("confidence") > 0.6, ":12").otherwise("")).alias("place"))
+    rows = C.note_claims(ix.once("annotations", "evidence")).where("object is not null").select("claim", F.concat("object", F.when(F.col("confidence") > 0.6, ":12").otherwise("")).alias("place"))
     return rows.select("claim", C.location("place").alias("x")).select("claim", "x.file", F.coalesce("x.line", F.lit(-1)).alias("line"))
 
 
@@ -72,8 +72,8 @@ _STATUS = """st AS (SELECT id, CASE WHEN count(*) FILTER (verdict = 'REFUTED' AN
 
 
 def _verdicts(ix):
-    claims = C.note_claims(ix.annotations)
-    return claims.join(C.verify_claims(claims, ix.symbols, ix.refs, ix.edges, ix.files), "claim")
+    claims = C.note_claims(ix.once("annotations", "evidence"))
+    return claims.join(C.verify_claims(claims, ix.symbols, ix.once("refs", "name", "file"), ix.once("edges", "src", "dst", "type"), ix.files), "claim")
 
 
 @query("SELECT claim, verdict FROM v", "annotations", "files", "symbols", "refs", _NOTE_CLAIMS, *_VERDICTS)
@@ -88,7 +88,7 @@ def verify_note(ix):
 
 @query("SELECT a.target, CASE WHEN bool_or(v.verdict = 'REFUTED') THEN 'REFUTED' WHEN bool_or(v.verdict = 'UNCHECKABLE') THEN 'AMBIGUOUS' ELSE 'PROVED' END AS status FROM annotations a JOIN v ON a.id = v.id WHERE a.target IS NOT NULL GROUP BY a.target", "annotations", "files", "symbols", "refs", _NOTE_CLAIMS, *_VERDICTS)
 def status_for_target(ix):
-    return I.target_status(ix.annotations.where("target is not null").select("id", "target").join(_verdicts(ix).select("id", "verdict"), "id"))
+    return I.target_status(ix.once("annotations", "target").where("target is not null").select("id", "target").join(_verdicts(ix).select("id", "verdict"), "id"))
 
 
 @query(
@@ -96,8 +96,8 @@ def status_for_target(ix):
     "edges",
 )
 def reexported_via(ix):
-    claims = ix.edges.where("type in ('reexport_star', 'pair_inspect') and dst is not null and src is not null").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("claim"), F.col("dst").alias("subject"), F.col("src").alias("object"))
-    return C.verify_edge(claims, ix.edges, "reexport_star").select("claim", "verdict")
+    claims = ix.once("edges", "src", "dst", "type").where("type in ('reexport_star', 'pair_inspect') and dst is not null and src is not null").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("claim"), F.col("dst").alias("subject"), F.col("src").alias("object"))
+    return C.verify_edge(claims, ix.once("edges", "src", "dst", "type"), "reexport_star").select("claim", "verdict")
 
 
 @query(
@@ -106,8 +106,8 @@ def reexported_via(ix):
     "edges",
 )
 def reverse_dependency_of(ix):
-    claims = ix.edges.where("type in ('imports', 'pair_inspect') and dst is not null and src is not null").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("claim"), F.col("dst").alias("subject"), F.col("src").alias("object"))
-    return C.verify_edge(claims, ix.edges, "imports").select("claim", "verdict")
+    claims = ix.once("edges", "src", "dst", "type").where("type in ('imports', 'pair_inspect') and dst is not null and src is not null").select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("claim"), F.col("dst").alias("subject"), F.col("src").alias("object"))
+    return C.verify_edge(claims, ix.once("edges", "src", "dst", "type"), "imports").select("claim", "verdict")
 
 
 @query(
@@ -125,18 +125,18 @@ def defined_at(ix):
 
 @query("SELECT sha1(concat_ws('|', subject, predicate, object)) AS triple, count(*) AS claims FROM nc GROUP BY 1", "annotations", _NOTE_CLAIMS)
 def triple_hash(ix):
-    return C.note_claims(ix.annotations).groupBy(C.triple_hash(F.col("subject"), F.col("predicate"), F.col("object")).alias("triple")).agg(F.count("*").alias("claims"))
+    return C.note_claims(ix.once("annotations", "evidence")).groupBy(C.triple_hash(F.col("subject"), F.col("predicate"), F.col("object")).alias("triple")).agg(F.count("*").alias("claims"))
 
 
 @query("SELECT DISTINCT claim FROM nc WHERE truth_class <> 'FACT' AND sha1(concat_ws('|', subject, predicate, object)) NOT IN (SELECT sha1(concat_ws('|', subject, predicate, object)) FROM nc WHERE truth_class = 'FACT')", "annotations", _NOTE_CLAIMS)
 def uncaptured_claims(ix):
-    claims = C.note_claims(ix.annotations)
+    claims = C.note_claims(ix.once("annotations", "evidence"))
     return C.uncaptured(claims.where("truth_class <> 'FACT'"), claims.where("truth_class = 'FACT'")).select("claim").distinct()
 
 
 @query("SELECT name, count(*) AS callers, sha1(string_agg(file, chr(10) ORDER BY file)) AS callers_hash FROM (SELECT DISTINCT name, file FROM refs WHERE name IS NOT NULL AND file IS NOT NULL) GROUP BY name", "refs")
 def callers_hash(ix):
-    return I.callers_hash(ix.refs)
+    return I.callers_hash(ix.once("refs", "file", "name"))
 
 
 _FP = (
@@ -148,7 +148,7 @@ _FP = (
 
 @query("SELECT target, file_hash, callers_hash FROM fp", "annotations", "files", "refs", *_FP)
 def fingerprint(ix):
-    return I.fingerprints(ix.annotations, ix.files, ix.refs)
+    return I.fingerprints(ix.once("annotations", "target", "kind", "confidence", "confidence_base", "fingerprint", "staleness"), ix.files, ix.once("refs", "file", "name", "kind", "confidence"))
 
 
 _REVALIDATED = """rv AS (SELECT id, staleness AS previous, base, CASE WHEN kind = 'refute' AND staleness = 'contradicted' THEN 'contradicted' ELSE
@@ -165,7 +165,8 @@ _REVALIDATED = """rv AS (SELECT id, staleness AS previous, base, CASE WHEN kind
 )
 def revalidate_annotation(ix):
     status = cut(C.note_status(_verdicts(ix)).select("id", "status"))
-    return I.revalidate(ix.annotations, I.fingerprints(ix.annotations, ix.files, ix.refs), status)
+    notes = ix.once("annotations", "target", "kind", "confidence", "confidence_base", "fingerprint", "staleness")
+    return I.revalidate(notes, I.fingerprints(ix.once("annotations", "target"), ix.files, ix.once("refs", "name", "file")), status)
 
 
 @query(
@@ -173,7 +174,7 @@ def revalidate_annotation(ix):
     "annotations",
 )
 def polarity(ix):
-    return ix.annotations.select("id", I.polarity(F.col("body")).alias("polarity"))
+    return ix.once("annotations", "body").select("id", I.polarity(F.col("body")).alias("polarity"))
 
 
 @query("SELECT path FROM file_texts WHERE regexp_matches(text, '\\bBUG\\b|\\bFIXME\\b|\\bSECURITY\\b|\\bXXX\\b|# ?TODO:?\\s*(fix|security|insecure)')")
@@ -186,12 +187,12 @@ _CONFLICT = "SELECT target, '{2}' AS severity, '{0}/{1}' AS kinds, count(*) AS n
 
 @query(" UNION ALL ".join(_CONFLICT.format(a, b, s, AS_OF) for a, b, s in I.KIND_CONFLICTS), "annotations")
 def kind_conflicts(ix):
-    return I.kind_conflicts(ix.annotations, AS_OF)
+    return I.kind_conflicts(ix.once("annotations", "target", "kind", "expires_at", "severity"), AS_OF)
 
 
 @query(f"SELECT a.id, a.target, p.file FROM annotations a JOIN p ON a.target = p.target WHERE p.file IS NOT NULL AND NOT ends_with(p.file, '/') AND p.file NOT IN (SELECT path FROM files) AND (a.expires_at IS NULL OR a.expires_at > {AS_OF})", "annotations", "files", _FP[0])
 def deleted_targets(ix):
-    return I.deleted_targets(ix.annotations, ix.files, AS_OF)
+    return I.deleted_targets(ix.once("annotations", "target", "expires_at"), ix.files, AS_OF)
 
 
 @query(
@@ -201,12 +202,12 @@ AND coalesce(CASE WHEN regexp_matches(lower(coalesce(body, '')), 'safe|no bug|no
     "annotations", _FP[0],
 )
 def tier_contradictions(ix):
-    return I.tier_contradictions(ix.annotations, ix.texts, AS_OF)
+    return I.tier_contradictions(ix.once("annotations", "target", "kind", "body", "expires_at"), ix.texts, AS_OF)
 
 
 @query("SELECT p.target, s.n AS files, CASE WHEN s.n >= 3 THEN 'high' ELSE 'medium' END AS severity FROM p JOIN (SELECT name, count(DISTINCT file) AS n FROM symbols WHERE file IS NOT NULL GROUP BY name HAVING count(DISTINCT file) > 1) s ON p.name = s.name WHERE contains(p.target, '#')", "annotations", "symbols", _FP[0])
 def ambiguity_for_target(ix):
-    return I.ambiguous_targets(ix.annotations, ix.symbols)
+    return I.ambiguous_targets(ix.once("annotations", "target", "severity"), ix.symbols)
 
 
 @query("SELECT f.path, CASE WHEN t.path IS NULL THEN 'file-missing' ELSE 'hash-mismatch' END AS reason FROM files f LEFT JOIN (SELECT path, sha1(text) AS h FROM file_texts WHERE text IS NOT NULL) t ON f.path = t.path WHERE t.path IS NULL OR f.hash IS DISTINCT FROM t.h", "files")
@@ -221,17 +222,17 @@ def check_paths(ix):
     "annotations", "symbols", "files",
 )
 def verify_note_body(ix):
-    return I.body_citations(ix.annotations, ix.symbols, ix.files)
+    return I.body_citations(ix.once("annotations", "body"), ix.symbols, ix.files)
 
 
 @query(f"SELECT id, target, staleness FROM annotations WHERE staleness IN ('weakly_stale', 'strongly_stale') AND (expires_at IS NULL OR expires_at > {AS_OF})", "annotations")
 def stale_notes(ix):
-    return ix.annotations.where(F.col("staleness").isin("weakly_stale", "strongly_stale") & I.alive(AS_OF)).select("id", "target", "staleness")
+    return ix.once("annotations", "target", "expires_at", "staleness").where(F.col("staleness").isin("weakly_stale", "strongly_stale") & I.alive(AS_OF)).select("id", "target", "staleness")
 
 
 @query(f"SELECT id, target FROM annotations WHERE target <> '' AND NOT regexp_matches(target, '[/#:]') AND NOT starts_with(target, '@') AND target NOT IN (SELECT name FROM symbols WHERE name IS NOT NULL) AND (expires_at IS NULL OR expires_at > {AS_OF})", "annotations", "symbols")
 def renamed_notes(ix):
-    bare = ix.annotations.where(I.alive(AS_OF) & (F.col("target") != "") & ~F.col("target").rlike("[/#:]|^@")).select("id", "target")
+    bare = ix.once("annotations", "target", "expires_at").where(I.alive(AS_OF) & (F.col("target") != "") & ~F.col("target").rlike("[/#:]|^@")).select("id", "target")
     return bare.join(ix.symbols.where("name is not null").select(F.col("name").alias("target")).distinct(), "target", "left_anti").select("id", "target")
 
 
@@ -241,4 +242,4 @@ UNION ALL SELECT 'oversize', round(100.0 * count(*) FILTER (size > 3000000) / co
     "files", "edges",
 )
 def doctor(ix):
-    return I.health(ix.files, ix.refs, ix.edges, ix.symbols).where("check not in ('artifact_files', 'ref_binding')").select("check", "value")
+    return I.health(ix.files, ix.once("refs", "name", "target_symbol_id"), ix.once("edges", "dst"), ix.symbols).where("check not in ('artifact_files', 'ref_binding')").select("check", "value")

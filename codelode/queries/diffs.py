@@ -103,13 +103,13 @@ _USES = (
 @query("SELECT v.kind, v.name, sum(coalesce(n.n, 0))::BIGINT AS uses, sum(coalesce(n.n, 0)) = 0 AS orphan FROM v LEFT JOIN n ON v.x = n.name GROUP BY v.kind, v.name", *_SIDES, *_KEYS, "refs", _USES[0].format("added"), _USES[1])
 def consumer_analysis(ix):
     added = D.key_diff(*_sides(ix), ["file", "name", "kind"]).where("change = 'added' and name is not null")
-    return D.consumers(added, None, ix.refs)
+    return D.consumers(added, None, ix.once("refs", "file", "name", "kind", "line"))
 
 
 @query("SELECT v.kind, v.name, sum(coalesce(n.n, 0))::BIGINT AS uses, sum(coalesce(n.n, 0)) = 0 AS orphan FROM v LEFT JOIN n ON v.x = n.name GROUP BY v.kind, v.name", *_SIDES, *_KEYS, "refs", _USES[0].format("removed"), _USES[1])
 def dangling_analysis(ix):
     removed = D.key_diff(*_sides(ix), ["file", "name", "kind"]).where("change = 'removed' and name is not null")
-    return D.consumers(removed, None, ix.refs, declaring=False)
+    return D.consumers(removed, None, ix.once("refs", "file", "name", "kind", "line"), declaring=False)
 
 
 @query(
@@ -119,7 +119,7 @@ def dangling_analysis(ix):
 )
 def project_obligations(ix):
     changes = D.cut(D.key_diff(*_sides(ix), ["file", "name", "kind"]).where("name is not null"))
-    return D.obligations(D.consumers(changes.where("change = 'added'"), None, ix.refs), D.consumers(changes.where("change = 'removed'"), None, ix.refs, declaring=False))
+    return D.obligations(D.consumers(changes.where("change = 'added'"), None, ix.once("refs", "file", "name", "kind", "line")), D.consumers(changes.where("change = 'removed'"), None, ix.once("refs", "file", "name", "kind", "line"), declaring=False))
 
 
 @query(

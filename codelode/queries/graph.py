@@ -25,12 +25,12 @@ def _levels(step: str, seed: str, hops: int, a: str = "src", b: str = "dst") ->
 
 @query(f"SELECT DISTINCT node FROM (SELECT src AS node FROM edges WHERE dst = '{TARGET}' UNION SELECT dst FROM edges WHERE src = '{TARGET}') WHERE node IS NOT NULL", "edges")
 def union_neighbours(ix):
-    return G.neighbours(ix.edges, TARGET)
+    return G.neighbours(ix.once("edges", "src", "dst"), TARGET)
 
 
 @query(f"SELECT DISTINCT dst AS file, type FROM edges WHERE src = '{TARGET}' AND type IN ('imports', 'pair_inspect')", "edges")
 def forward_deps(ix):
-    return G.forward_deps(ix.edges, TARGET)
+    return G.forward_deps(ix.once("edges", "src", "dst", "type"), TARGET)
 
 
 @query(
@@ -38,7 +38,7 @@ def forward_deps(ix):
     "edges", _IMPORTS, "x AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'reexport_star' AND src IS NOT NULL AND dst IS NOT NULL)", *_levels("x", f"'{TARGET}'", 8, "dst", "src"),
 )
 def reverse_deps(ix):
-    return G.reverse_deps(ix.edges, TARGET)
+    return G.reverse_deps(ix.once("edges", "src", "dst", "type"), TARGET)
 
 
 @query(
@@ -47,19 +47,19 @@ def reverse_deps(ix):
     "refs", "symbols", "edges",
 )
 def reverse_deps_java(ix):
-    return G.reverse_deps(ix.edges, "dunmere/lib/buvarigi/Widget.java", ix.symbols, ix.refs).where("type <> 'reexport_via'")
+    return G.reverse_deps(ix.once("edges", "src", "dst", "type"), "dunmere/lib/buvarigi/Widget.java", ix.symbols, ix.once("refs", "file", "name", "kind")).where("type <> 'reexport_via'")
 
 
 @query("SELECT node AS file, hop, through FROM w3 WHERE hop > 0", "edges", _IMPORTS, *_levels("i", f"'{TARGET}'", 3, "dst", "src"))
 def radius_reverse(ix):
     seed = ix.spark.createDataFrame([(TARGET,)], "node string")
-    return G.reach(ix.edges.where("type = 'imports'"), seed, 3, forward=False).where("hop > 0").select(F.col("node").alias("file"), "hop", "through")
+    return G.reach(ix.once("edges", "src", "dst", "type").where("type = 'imports'"), seed, 3, forward=False).where("hop > 0").select(F.col("node").alias("file"), "hop", "through")
 
 
 @query("SELECT node AS file, hop, through FROM w3 WHERE hop > 0", "edges", _IMPORTS, *_levels("i", f"'{TARGET}'", 3))
 def radius_forward(ix):
     seed = ix.spark.createDataFrame([(TARGET,)], "node string")
-    return G.reach(ix.edges.where("type = 'imports'"), seed, 3).where("hop > 0").select(F.col("node").alias("file"), "hop", "through")
+    return G.reach(ix.once("edges", "src", "dst", "type").where("type = 'imports'"), seed, 3).where("hop > 0").select(F.col("node").alias("file"), "hop", "through")
 
 
 @query(
@@ -70,7 +70,7 @@ FROM w2 WHERE hop > 0""",
     "edges", _IMPORTS, *_levels("i", f"'{TARGET}'", 2, "dst", "src"),
 )
 def analyze_change(ix):
-    return G.analyze_change(ix.edges, TARGET)
+    return G.analyze_change(ix.once("edges", "src", "dst", "type"), TARGET)
 
 
 _CALLS = "calls AS (SELECT DISTINCT b.file, b.names AS caller, r.name AS callee FROM refs r JOIN bodies b ON r.file = b.file AND r.line BETWEEN b.line AND b.end_line WHERE r.kind = 'call' AND r.name IS NOT NULL AND b.names <> r.name)"
@@ -78,12 +78,12 @@ _CALLS = "calls AS (SELECT DISTINCT b.file, b.names AS caller, r.name AS callee
 
 @query("SELECT c.file, c.caller, c.callee FROM calls c WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file = c.file AND s.name = c.callee)", "refs", "symbols", _BODIES, _CALLS)
 def callgraph(ix):
-    return G.call_graph(ix.refs, ix.symbols)
+    return G.call_graph(ix.once("refs", "file", "name", "kind", "line"), ix.symbols)
 
 
 @query("SELECT file, caller, count(*) AS callees FROM calls c WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file = c.file AND s.name = c.callee) GROUP BY file, caller", "refs", "symbols", _BODIES, _CALLS)
 def callgraph_by_caller(ix):
-    return G.call_graph(ix.refs, ix.symbols).groupBy("file", "caller").agg(F.count("*").alias("callees"))
+    return G.call_graph(ix.once("refs", "file", "name", "kind", "line"), ix.symbols).groupBy("file", "caller").agg(F.count("*").alias("callees"))
 
 
 HUB, START = "brinefall/core/runtime/dispatch.py", "emit_event"
@@ -95,7 +95,7 @@ HUB, START = "brinefall/core/runtime/dispatch.py", "emit_event"
     *_levels("own", f"'{START}'", 3),
 )
 def callees_of(ix):
-    return G.callees_of(ix.refs, ix.symbols, HUB, START, 3)
+    return G.callees_of(ix.once("refs", "file", "name", "kind", "line"), ix.symbols, HUB, START, 3)
 
 
 _TRACE = "t AS (SELECT DISTINCT c.file || '#' || c.caller AS src, d.file || '#' || d.name AS dst FROM calls c JOIN (SELECT DISTINCT file, name FROM symbols WHERE file IS NOT NULL) d ON c.callee = d.name)"
@@ -103,13 +103,13 @@ _TRACE = "t AS (SELECT DISTINCT c.file || '#' || c.caller AS src, d.file || '#'
 
 @query("SELECT src, dst FROM t", "refs", "symbols", _BODIES, _CALLS, _TRACE)
 def trace_edges(ix):
-    return G.trace_edges(ix.refs, ix.symbols).distinct()
+    return G.trace_edges(ix.once("refs", "file", "name", "kind", "line"), ix.symbols).distinct()
 
 
 @query("SELECT node, hop, through FROM w4", "refs", "symbols", _BODIES, _CALLS, _TRACE, *_levels("t", f"'{HUB}#{START}'", 4))
 def trace_levels(ix):
     seed = ix.spark.createDataFrame([(f"{HUB}#{START}",)], "node string")
-    return G.reach(G.trace_edges(ix.refs, ix.symbols), seed, 4)
+    return G.reach(G.trace_edges(ix.once("refs", "file", "name", "kind", "line"), ix.symbols), seed, 4)
 
 
 @query(
@@ -122,7 +122,7 @@ def trace_levels(ix):
 )
 def trace_call_chain(ix):
     """The way to the farthest symbol within four calls, the largest one of those."""
-    edges = G.cut(G.trace_edges(ix.refs, ix.symbols))
+    edges = G.cut(G.trace_edges(ix.once("refs", "file", "name", "kind", "line"), ix.symbols))
     far = G.reach(edges, ix.spark.createDataFrame([(f"{HUB}#{START}",)], "node string"), 4).agg(F.max(F.struct("hop", "node"))["node"]).first()[0]
     return G.trace(edges, f"{HUB}#{START}", far, 4)
 
@@ -133,7 +133,7 @@ def trace_call_chain(ix):
     *_levels("b", f"'{TARGET}'", 2),
 )
 def graph_payload(ix):
-    return G.neighbourhood(ix.edges.where("type = 'imports'"), TARGET, 2)
+    return G.neighbourhood(ix.once("edges", "src", "dst", "type").where("type = 'imports'"), TARGET, 2)
 
 
 @query(
@@ -144,7 +144,7 @@ LEFT JOIN (SELECT lifeline_id, count(*) AS n FROM leases WHERE state = 'open' GR
     "edges", "annotations", "leases",
 )
 def lifeline_graph(ix):
-    return G.lifeline_graph(ix.lifelines, ix.annotations, ix.edges, ix.leases)
+    return G.lifeline_graph(ix.lifelines, ix.once("annotations", "target", "kind", "staleness", "severity"), ix.once("edges", "dst", "type"), ix.leases)
 
 
 @query(
@@ -152,8 +152,8 @@ def lifeline_graph(ix):
     "annotations", "edges",
 )
 def blast_radius(ix):
-    notes = ix.annotations.where(F.col("severity").isin("high", "critical") & alive(AS_OF)).select("id", "target")
-    return notes.join(G.neighbours(ix.edges, TARGET).withColumnRenamed("node", "target"), "target", "left_semi")
+    notes = ix.once("annotations", "target", "expires_at", "severity").where(F.col("severity").isin("high", "critical") & alive(AS_OF)).select("id", "target")
+    return notes.join(G.neighbours(ix.once("edges", "src", "dst"), TARGET).withColumnRenamed("node", "target"), "target", "left_semi")
 
 
 @query(
@@ -161,12 +161,12 @@ def blast_radius(ix):
     "edges", "symbols",
 )
 def re_resolve_inheritance(ix):
-    return G.ambiguous_inheritance(ix.edges, ix.symbols)
+    return G.ambiguous_inheritance(ix.once("edges", "dst", "type", "confidence"), ix.symbols)
 
 
 @query("SELECT src, count(*) AS edges, count(*) FILTER (regexp_matches(dst, '^(module|builtin|binding):')) AS \"external\" FROM edges WHERE src IS NOT NULL GROUP BY src", "edges")
 def external_share(ix):
-    return G.external_share(ix.edges)
+    return G.external_share(ix.once("edges", "src", "dst"))
 
 
 _TEST = "(regexp_matches('/' || lower(path), '/tests?/') OR starts_with(lower(regexp_extract(path, '[^/]*$')), 'test_') OR regexp_matches(lower(path), '_test\\.(py|go)$') OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\.(test|spec)\\.'))"
@@ -179,7 +179,7 @@ UNION SELECT s.path, t.path FROM s JOIN t ON split_part(s.path, '/', 1) = split_
     "files", "edges", f"s AS (SELECT path FROM files WHERE NOT {_TEST})", f"t AS (SELECT path FROM files WHERE {_TEST})",
 )
 def guess_tests(ix):
-    return G.guess_tests(ix.edges, ix.files)
+    return G.guess_tests(ix.once("edges", "src", "dst", "type"), ix.files)
 
 
 @query("SELECT dir, count(*) AS files FROM (SELECT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(list_slice(string_split(path, '/'), 1, i), '/') || '/')) AS dir FROM files) GROUP BY dir", "files")
@@ -192,5 +192,5 @@ def directory_tree(ix):
     "refs", "symbols", _BODIES, "calls AS (SELECT DISTINCT b.file, b.names AS caller, r.name AS callee FROM refs r JOIN bodies b ON r.file = b.file AND r.line BETWEEN b.line AND b.end_line WHERE r.kind = 'call' AND r.name IS NOT NULL)",
 )
 def callgraph_warnings(ix):
-    calls = cross_file_calls(ix.refs, ix.symbols)
+    calls = cross_file_calls(ix.once("refs", "file", "name", "kind", "line"), ix.symbols)
     return calls.groupBy("caller_file").agg(F.count("*").alias("calls"), F.count_if(F.col("candidates") == 0).alias("unresolved"), F.count_if(F.col("candidates") > 1).alias("ambiguous"))

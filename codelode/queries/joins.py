@@ -17,13 +17,13 @@ _EVIDENCE = "t AS (SELECT DISTINCT unnest([e.subject, e.object]) AS target FROM
 
 
 def _evidence(ix):
-    e = ix.annotations.select(F.explode("evidence").alias("e"))
+    e = ix.once("annotations", "target", "evidence").select(F.explode("evidence").alias("e"))
     return e.select(F.explode(F.array("e.subject", "e.object")).alias("target"))
 
 
 @query("SELECT file, name, kind, line FROM symbols WHERE name NOT IN (SELECT name FROM n) AND kind IN ('function', 'class', 'method')", "symbols", "refs", _NAMES)
 def orphan_symbols(ix):
-    return B.unused_symbols(ix.symbols, ix.refs, ("function", "class", "method")).select("file", "name", "kind", "line")
+    return B.unused_symbols(ix.symbols, ix.once("refs", "file", "name", "kind", "line"), ("function", "class", "method")).select("file", "name", "kind", "line")
 
 
 @query(
@@ -31,12 +31,12 @@ def orphan_symbols(ix):
     "refs", "symbols", "files",
 )
 def parity_refs_without_defs(ix):
-    return B.undefined_references(ix.refs, ix.symbols, ix.files)
+    return B.undefined_references(ix.once("refs", "file", "name"), ix.symbols, ix.files)
 
 
 @query("SELECT DISTINCT name FROM symbols WHERE name NOT IN (SELECT name FROM n)", "symbols", "refs", _NAMES)
 def parity_defs_without_refs(ix):
-    return B.unused_symbols(ix.symbols, ix.refs).select("name").distinct()
+    return B.unused_symbols(ix.symbols, ix.once("refs", "name")).select("name").distinct()
 
 
 @query(
@@ -45,12 +45,12 @@ def parity_defs_without_refs(ix):
 )
 def builtin_filter(ix):
     builtins = ix.spark.createDataFrame([("python", "assertEqual"), ("python", "print")], "lang string, name string")
-    return B.undefined_references(ix.refs, ix.symbols, ix.files, F.broadcast(builtins)).where("lang is not null")
+    return B.undefined_references(ix.once("refs", "file", "name"), ix.symbols, ix.files, F.broadcast(builtins)).where("lang is not null")
 
 
 @query("SELECT file, name, kind FROM symbols WHERE name NOT IN (SELECT name FROM n) AND NOT regexp_matches(file, '(^|/)(dist|build|out|generated|vendor|third_party|node_modules)(/|$)')", "symbols", "refs", _NAMES)
 def isolated_symbols(ix):
-    found = B.unused_symbols(ix.symbols, ix.refs)
+    found = B.unused_symbols(ix.symbols, ix.once("refs", "file", "name", "kind"))
     return found.where(~F.col("file").rlike("(^|/)(dist|build|out|generated|vendor|third_party|node_modules)(/|$)")).select("file", "name", "kind")
 
 
@@ -61,7 +61,7 @@ def drift(ix):
 
 @query("SELECT id FROM refs WHERE name IN (SELECT name FROM symbols)", "refs", "symbols")
 def internal_bindable(ix):
-    return B.bindable(ix.refs, ix.symbols).select("id")
+    return B.bindable(ix.once("refs", "file", "name", "line", "target_symbol_id"), ix.symbols).select("id")
 
 
 _BIND = (
@@ -85,17 +85,17 @@ _BIND = (
 
 @query("SELECT id, target_symbol_id, tier FROM bound", "refs", "symbols", "edges", *_BIND)
 def resolve_refs(ix):
-    return B.resolve_refs(ix.refs, ix.symbols, ix.edges)
+    return B.resolve_refs(ix.once("refs", "file", "name", "line", "target_symbol_id"), ix.symbols, ix.once("edges", "src", "dst", "type"))
 
 
 @query("SELECT tier, count(*) AS refs FROM bound GROUP BY tier", "refs", "symbols", "edges", *_BIND)
 def resolve_refs_counts(ix):
-    return B.resolve_refs(ix.refs, ix.symbols, ix.edges).groupBy("tier").agg(F.count("*").alias("refs"))
+    return B.resolve_refs(ix.once("refs", "file", "name", "line", "target_symbol_id"), ix.symbols, ix.once("edges", "src", "dst", "type")).groupBy("tier").agg(F.count("*").alias("refs"))
 
 
 @query("SELECT src, dst FROM h4", "edges", *_BIND[2:5])
 def reexport_closure(ix):
-    return B.closure(ix.edges.where("type = 'reexport_star'"), 4).select("src", "dst")
+    return B.closure(ix.once("edges", "src", "dst", "type").where("type = 'reexport_star'"), 4).select("src", "dst")
 
 
 @query(
@@ -104,7 +104,7 @@ FROM (SELECT count(*) AS t, count(target_symbol_id) AS b, count(*) FILTER (name
     "refs", "symbols",
 )
 def binding_summary(ix):
-    return B.binding_summary(ix.refs, ix.symbols)
+    return B.binding_summary(ix.once("refs", "name", "target_symbol_id"), ix.symbols)
 
 
 @query(
@@ -122,7 +122,7 @@ FROM (SELECT name, count(*) AS n FROM refs WHERE kind = 'call' AND name IS NOT N
     "refs",
 )
 def cross_layer_join(ix):
-    return B.two_sided(ix.refs.where("kind = 'call'"), ix.refs.where("kind = 'import'"), "name", ("calls", "imports"))
+    return B.two_sided(ix.once("refs", "name", "kind").where("kind = 'call'"), ix.once("refs", "name", "kind").where("kind = 'import'"), "name", ("calls", "imports"))
 
 
 _CITED = "c AS (SELECT DISTINCT array_to_string(list_slice(string_split(e.object, '/'), -2, -1), '/') AS cited FROM (SELECT unnest(evidence) AS e FROM annotations) WHERE e.object IS NOT NULL)"
@@ -130,14 +130,14 @@ _CITED = "c AS (SELECT DISTINCT array_to_string(list_slice(string_split(e.object
 
 @query("SELECT c.cited, CASE WHEN count(f.path) = 1 THEN min(f.path) END AS path, count(f.path) AS matches FROM c LEFT JOIN files f ON f.path = c.cited OR ends_with(f.path, '/' || c.cited) GROUP BY c.cited", "annotations", "files", _CITED)
 def citation_match(ix):
-    objects = ix.annotations.select(F.explode("evidence").alias("e")).select(F.split("e.object", "/").alias("p")).where("p is not null")
+    objects = ix.once("annotations", "evidence").select(F.explode("evidence").alias("e")).select(F.split("e.object", "/").alias("p")).where("p is not null")
     cited = objects.select(F.array_join(F.slice("p", F.greatest(F.size("p") - 1, F.lit(1)), 2), "/").alias("cited"))
     return B.cited_paths(cited, ix.files)
 
 
 @query("SELECT e.src, e.dst, f.parser FROM edges e LEFT JOIN files f ON e.src = f.path WHERE e.type = 'imports'", "edges", "files")
 def consumer_parser_join(ix):
-    return ix.edges.where("type = 'imports'").join(ix.files.select(F.col("path").alias("src"), "parser"), "src", "left").select("src", "dst", "parser")
+    return ix.once("edges", "src", "dst", "type").where("type = 'imports'").join(ix.files.select(F.col("path").alias("src"), "parser"), "src", "left").select("src", "dst", "parser")
 
 
 @query(f'SELECT e.id, e.kind, e."at", l.current_path FROM events e JOIN file_lifeline l ON e.lifeline_id = l.id WHERE e.id > 0', "events")
@@ -150,12 +150,12 @@ _BODIES = "bodies AS (SELECT file, line, coalesce(lead(line) OVER (PARTITION BY
 
 @query("SELECT r.id, b.names AS name, b.line AS def_line FROM refs r JOIN bodies b ON r.file = b.file AND r.line BETWEEN b.line AND b.end_line", "refs", "symbols", _BODIES)
 def enclosing_scope(ix):
-    return S.enclosing(ix.refs, ix.symbols).where("name is not null").select("id", "name", "def_line")
+    return S.enclosing(ix.once("refs", "file", "name", "line"), ix.symbols).where("name is not null").select("id", "name", "def_line")
 
 
 @query("SELECT r.id, r.line, max_by(b.names, b.line) AS name FROM refs r LEFT JOIN bodies b ON r.file = b.file AND b.line <= r.line GROUP BY r.id, r.line", "refs", "symbols", _BODIES)
 def enclosing_symbol(ix):
-    return S.preceding(ix.refs, ix.symbols).select("id", "line", "name")
+    return S.preceding(ix.once("refs", "file", "name", "line"), ix.symbols).select("id", "line", "name")
 
 
 @query("SELECT file, line, end_line, names AS name FROM bodies", "symbols", _BODIES)
@@ -171,7 +171,7 @@ _CALLS = "calls AS (SELECT DISTINCT b.file AS caller_file, b.names AS caller, r.
     "refs", "symbols", _BODIES, _CALLS,
 )
 def cross_file_calls(ix):
-    return S.cross_file_calls(ix.refs, ix.symbols)
+    return S.cross_file_calls(ix.once("refs", "file", "name", "kind", "line"), ix.symbols)
 
 
 @query(
@@ -183,7 +183,7 @@ def notes_of_changed_files(ix):
     changed = ix.edits.where(F.col("ts") >= AS_OF - 30 * DAY).select("path").distinct()
     own = ix.symbols.where("name is not null").select(F.col("file").alias("path"), F.explode(F.array(*(F.concat("file", F.lit("#"), "name", F.lit(s)) for s in ("", ".", "#", "/", "!")))).alias("target"))
     targets = changed.select("path", F.col("path").alias("target")).unionByName(own.join(changed, "path", "left_semi"))
-    return ix.annotations.where(alive(AS_OF)).select("id", "target").join(targets, "target").select("path", "id").distinct()
+    return ix.once("annotations", "target", "expires_at").where(alive(AS_OF)).select("id", "target").join(targets, "target").select("path", "id").distinct()
 
 
 @query(
@@ -194,16 +194,16 @@ def notes_of_changed_files(ix):
     "files", "annotations", "edges", f"n AS (SELECT id, target FROM annotations WHERE expires_at IS NULL OR expires_at > {AS_OF})",
 )
 def path_annotations(ix):
-    notes = ix.annotations.where(alive(AS_OF)).select("id", "target")
+    notes = ix.once("annotations", "target", "expires_at").where(alive(AS_OF)).select("id", "target")
     here = ix.files.select("path", F.col("path").alias("target"), F.lit("file").alias("scope"))
     above = ix.files.select("path", F.explode(ancestors(F.col("path"))).alias("target"), F.lit("dir").alias("scope"))
-    deps = ix.edges.where("type = 'imports'").select(F.col("src").alias("path"), F.col("dst").alias("target")).distinct().join(ix.files.select("path"), "path", "left_semi").withColumn("scope", F.lit("dep"))
+    deps = ix.once("edges", "src", "dst", "type").where("type = 'imports'").select(F.col("src").alias("path"), F.col("dst").alias("target")).distinct().join(ix.files.select("path"), "path", "left_semi").withColumn("scope", F.lit("dep"))
     return notes.join(here.unionByName(above).unionByName(deps), "target").select("path", "id", "scope")
 
 
 @query("SELECT DISTINCT a.m AS module, b.m AS prefix FROM m a JOIN m b ON starts_with(a.m, b.m || '.')", "edges", "m AS (SELECT DISTINCT substr(dst, 8) AS m FROM edges WHERE starts_with(dst, 'module:'))")
 def prefix_check(ix):
-    return B.shadowed_modules(ix.edges).select("module", "prefix")
+    return B.shadowed_modules(ix.once("edges", "dst")).select("module", "prefix")
 
 
 @query(
@@ -211,7 +211,7 @@ def prefix_check(ix):
     "annotations",
 )
 def evidence_query(ix):
-    return ix.annotations.where(F.exists("evidence", lambda e: (e["subject"] == "emit_event") | (e["object"] == "x"))).select("id", "target")
+    return ix.once("annotations", "target", "evidence").where(F.exists("evidence", lambda e: (e["subject"] == "emit_event") | (e["object"] == "x"))).select("id", "target")
 
 
 @query(
@@ -221,5 +221,5 @@ def evidence_query(ix):
 )
 def default_import_refs(ix):
     stem = F.regexp_extract(F.regexp_extract("dst", r"([^/]*)$", 1), r"^([^.]*)", 1)
-    imports = ix.edges.where((F.col("type") == "imports") & F.col("src").isNotNull() & B.is_internal(F.col("dst"))).select(F.col("src").alias("file"), "dst", stem.alias("name")).distinct()
-    return B.default_import_refs(imports, ix.symbols, ix.refs)
+    imports = ix.once("edges", "src", "dst", "type").where((F.col("type") == "imports") & F.col("src").isNotNull() & B.is_internal(F.col("dst"))).select(F.col("src").alias("file"), "dst", stem.alias("name")).distinct()
+    return B.default_import_refs(imports, ix.symbols, ix.once("refs", "file", "name"))

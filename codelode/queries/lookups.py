@@ -33,22 +33,22 @@ def resolve_name_to_symbol_id(ix):
 
 @query(f"SELECT id, file, kind, line FROM refs WHERE name = '{NAME}' AND kind IN ('call', 'import')", "refs")
 def refs_by_name(ix):
-    return L.by_value(ix.refs, "name", NAME, kind=("call", "import")).select("id", "file", "kind", "line")
+    return L.by_value(ix.once("refs", "file", "name", "kind", "line"), "name", NAME, kind=("call", "import")).select("id", "file", "kind", "line")
 
 
 @query(f"SELECT id, src, dst, confidence FROM edges WHERE src = 'brinefall/core/kutopoge/shared_relay.js' AND type = 'imports'", "edges")
 def edges_from(ix):
-    return L.by_value(ix.edges, "src", "brinefall/core/kutopoge/shared_relay.js", type="imports").select("id", "src", "dst", "confidence")
+    return L.by_value(ix.once("edges", "src", "dst", "type", "confidence"), "src", "brinefall/core/kutopoge/shared_relay.js", type="imports").select("id", "src", "dst", "confidence")
 
 
 @query("SELECT id, src, type FROM edges WHERE dst = 'module:corelib'", "edges")
 def edges_to(ix):
-    return L.by_value(ix.edges, "dst", "module:corelib").select("id", "src", "type")
+    return L.by_value(ix.once("edges", "src", "dst", "type"), "dst", "module:corelib").select("id", "src", "type")
 
 
 @query(f"SELECT id, target, kind, created_at FROM annotations WHERE kind = 'risk' AND (expires_at IS NULL OR expires_at > {AS_OF})", "annotations")
 def list_annotations(ix):
-    return L.list_annotations(ix.annotations, AS_OF, kind="risk").select("id", "target", "kind", "created_at")
+    return L.list_annotations(ix.once("annotations", "target", "kind", "created_at", "expires_at"), AS_OF, kind="risk").select("id", "target", "kind", "created_at")
 
 
 @query(
@@ -56,7 +56,7 @@ def list_annotations(ix):
     "annotations",
 )
 def search_annotations(ix):
-    return L.search_annotations(ix.annotations, WORD, AS_OF).select("id", "target")
+    return L.search_annotations(ix.once("annotations", "target", "kind", "body", "expires_at"), WORD, AS_OF).select("id", "target")
 
 
 @query(
@@ -68,7 +68,7 @@ def search_annotations(ix):
   WHERE s.name IS NOT NULL UNION SELECT path, unnest({ancestors_sql("path")}) FROM files)""",
 )
 def annotations_for_pack(ix):
-    return L.annotations_of_files(ix.annotations, ix.files.select("path"), ix.symbols, AS_OF)
+    return L.annotations_of_files(ix.once("annotations", "target", "expires_at"), ix.files.select("path"), ix.symbols, AS_OF)
 
 
 @query(
@@ -79,7 +79,7 @@ UNION ALL SELECT 'files', path, coalesce(lang, 'other') FROM (SELECT * FROM file
     "annotations", "symbols", "files",
 )
 def search(ix):
-    return L.search(WORD, 25, AS_OF, ix.annotations, ix.symbols, ix.files)
+    return L.search(WORD, 25, AS_OF, ix.once("annotations", "target", "kind", "body", "created_at", "expires_at"), ix.symbols, ix.files)
 
 
 @query(
@@ -99,12 +99,12 @@ FROM (SELECT DISTINCT target FROM annotations WHERE target IS NOT NULL) a LEFT J
   UNION ALL SELECT path, 4 FROM files UNION ALL SELECT unnest({ancestors_sql("path")}), 5 FROM files UNION ALL SELECT name, 6 FROM symbols WHERE file IS NOT NULL)""",
 )
 def locate(ix):
-    return L.locate(ix.annotations, ix.files, ix.symbols)
+    return L.locate(ix.once("annotations", "target"), ix.files, ix.symbols)
 
 
 @query("SELECT id, roles FROM refs WHERE (roles & 24) <> 0", "refs")
 def role_mask(ix):
-    return L.with_roles(ix.refs, 24).select("id", "roles")
+    return L.with_roles(ix.once("refs", "roles"), 24).select("id", "roles")
 
 
 @query(
@@ -114,12 +114,12 @@ def role_mask(ix):
     "refs",
 )
 def roles(ix):
-    return ix.refs.where("roles is not null").groupBy("roles").agg(F.count("*").alias("refs")).select("roles", "refs", L.describe_roles(F.col("roles")).alias("names"))
+    return ix.once("refs", "roles").where("roles is not null").groupBy("roles").agg(F.count("*").alias("refs")).select("roles", "refs", L.describe_roles(F.col("roles")).alias("names"))
 
 
 @query("SELECT kind, " + "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.ROLES_OF_KIND.items()) + " ELSE 0 END AS expected, count(*) AS refs FROM refs WHERE kind IS NOT NULL GROUP BY kind", "refs")
 def roles_of_kind(ix):
-    return ix.refs.where("kind is not null").groupBy("kind").agg(F.count("*").alias("refs")).select("kind", L.roles_of_kind(F.col("kind")).alias("expected"), "refs")
+    return ix.once("refs", "kind").where("kind is not null").groupBy("kind").agg(F.count("*").alias("refs")).select("kind", L.roles_of_kind(F.col("kind")).alias("expected"), "refs")
 
 
 @query("SELECT file, name, kind, line FROM symbols WHERE kind IN ('function', 'class', 'method')", "symbols")
@@ -183,12 +183,12 @@ def files_list(ix):
     "annotations", "files", f"p AS (SELECT path, path AS t FROM files UNION ALL SELECT path, unnest({ancestors_sql('path')}) FROM files)",
 )
 def exclusion_ancestors(ix):
-    return L.covering_targets(ix.files, ix.annotations, AS_OF)
+    return L.covering_targets(ix.files, ix.once("annotations", "target", "kind", "expires_at"), AS_OF)
 
 
 @query(f"SELECT id FROM annotations WHERE target = '@project' AND kind IN ('guidance', 'constraint', 'preference', 'critical', 'exclude') AND (expires_at IS NULL OR expires_at > {AS_OF})", "annotations")
 def guidance_kinds(ix):
-    return L.project_notes(ix.annotations, AS_OF, L.GUIDANCE_KINDS)
+    return L.project_notes(ix.once("annotations", "target", "kind", "expires_at"), AS_OF, L.GUIDANCE_KINDS)
 
 
 @query(f"SELECT s.name, s.kind, s.line, f.path IS NOT NULL AS indexed FROM symbols s LEFT JOIN files f ON s.file = f.path WHERE s.file = '{HUB}'", "symbols", "files")
@@ -203,7 +203,7 @@ UNION ALL SELECT 'ref', file, line FROM refs WHERE name = '{NAME}' AND ((SELECT
     "symbols", "refs", f"b AS (SELECT id FROM refs WHERE name = '{NAME}' AND target_symbol_id IN (SELECT symbol_id FROM symbols WHERE name = '{NAME}'))",
 )
 def symbol_refs(ix):
-    return L.symbol_references(ix.symbols, ix.refs, NAME)
+    return L.symbol_references(ix.symbols, ix.once("refs", "file", "name", "line", "target_symbol_id"), NAME)
 
 
 @query(f"SELECT path, new_hash, ts, session_id FROM edits WHERE ts >= {AS_OF - 30 * DAY}", "edits")
@@ -213,12 +213,12 @@ def recent_edits(ix):
 
 @query(f"SELECT id, target, created_at FROM annotations WHERE created_at BETWEEN {AS_OF - 90 * DAY} AND {AS_OF}", "annotations")
 def notes_in_window(ix):
-    return ix.annotations.where(F.col("created_at").between(AS_OF - 90 * DAY, AS_OF)).select("id", "target", "created_at")
+    return ix.once("annotations", "target", "created_at").where(F.col("created_at").between(AS_OF - 90 * DAY, AS_OF)).select("id", "target", "created_at")
 
 
 @query(f"SELECT '{NAME}' AS name, (SELECT count(*) FROM refs WHERE name = '{NAME}') AS total, file, line FROM (SELECT DISTINCT file, line FROM refs WHERE name = '{NAME}' AND file IS NOT NULL ORDER BY file, line LIMIT 5)", "refs")
 def ref_sites(ix):
-    return L.reference_sites(ix.refs, NAME)
+    return L.reference_sites(ix.once("refs", "file", "name", "line"), NAME)
 
 
 @query("SELECT DISTINCT kind, name, file || '#' || name || CASE WHEN kind IN ('class', 'interface', 'struct', 'enum', 'trait', 'type', 'type_alias', 'union', 'protocol') THEN '#' WHEN kind IN ('module', 'object', 'package', 'namespace') THEN '/' WHEN kind = 'macro' THEN '!' ELSE '.' END AS built FROM symbols WHERE file <> '' AND name <> ''", "symbols")
@@ -242,13 +242,13 @@ def symbol_id_parse(ix):
     "annotations",
 )
 def target_parse(ix):
-    targets = ix.annotations.where("target is not null").select("target").distinct()
+    targets = ix.once("annotations", "target").where("target is not null").select("target").distinct()
     return targets.select("target", P.parse_target(F.col("target")).alias("x")).select("target", "x.file", "x.name")
 
 
 @query("SELECT dst, count(*) AS edges FROM edges WHERE regexp_matches(dst, '^(module|builtin|binding):') GROUP BY dst", "edges")
 def external_nodes(ix):
-    return ix.edges.where(P.is_virtual(F.col("dst"))).groupBy("dst").agg(F.count("*").alias("edges"))
+    return ix.once("edges", "dst").where(P.is_virtual(F.col("dst"))).groupBy("dst").agg(F.count("*").alias("edges"))
 
 
 @query(
@@ -262,4 +262,4 @@ def open_leases(ix):
 
 @query("SELECT id, target FROM annotations WHERE starts_with(target, 'brinefall/') AND kind = 'todo'", "annotations")
 def notes_by_prefix(ix):
-    return ix.annotations.where(F.col("target").startswith("brinefall/") & (F.col("kind") == "todo")).select("id", "target")
+    return ix.once("annotations", "target", "kind").where(F.col("target").startswith("brinefall/") & (F.col("kind") == "todo")).select("id", "target")

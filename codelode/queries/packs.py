@@ -31,7 +31,7 @@ def symbol_body_hash(ix):
 
 @query(f"SELECT path AS file, len(regexp_extract_all(text, '\\bledger\\b'))::INTEGER AS hits FROM t WHERE path IN (SELECT src FROM edges WHERE dst = '{TARGET}' AND type = 'imports')", _T, "edges")
 def cross_file_consumers(ix):
-    return K.consumers(ix.edges, ix.texts, TARGET, "ledger")
+    return K.consumers(ix.once("edges", "src", "dst", "type"), ix.texts, TARGET, "ledger")
 
 
 @query(
@@ -49,7 +49,7 @@ def native_bindings(ix):
 
 @query("SELECT id, target FROM annotations WHERE target = 'brinefall/core/kutopoge/journal.js' OR starts_with(target, 'brinefall/core/kutopoge/journal.js#') ORDER BY created_at DESC NULLS LAST, id LIMIT 100", "annotations")
 def audit_trail(ix):
-    return K.trail(ix.annotations, "brinefall/core/kutopoge/journal.js", 100).select("id", "target")
+    return K.trail(ix.once("annotations", "target", "created_at"), "brinefall/core/kutopoge/journal.js", 100).select("id", "target")
 
 
 @query(
@@ -57,7 +57,7 @@ def audit_trail(ix):
     _T, "edges",
 )
 def relevant_entrypoints(ix):
-    return K.relevant_entrypoints(extract.entrypoints(ix.texts), ix.edges, TARGET)
+    return K.relevant_entrypoints(extract.entrypoints(ix.texts), ix.once("edges", "src", "dst", "type"), TARGET)
 
 
 @query("SELECT path FROM files WHERE stale = 1 AND (SELECT count(*) FROM files WHERE stale = 1) <= 100000", "files")
@@ -71,9 +71,9 @@ def auto_refresh(ix):
     "edges", "refs", "annotations",
 )
 def seed(ix):
-    hubs = rollups.in_degree(ix.edges).select(F.col("dst").alias("target"), F.col("edges").alias("score"))
-    gates = ix.refs.where("kind = 'call' and name is not null").groupBy(F.col("name").alias("target")).agg(F.count("*").alias("score"))
-    return K.seeds([("hub", hubs), ("gateway", gates)], ix.annotations, 15)
+    hubs = rollups.in_degree(ix.once("edges", "dst", "type")).select(F.col("dst").alias("target"), F.col("edges").alias("score"))
+    gates = ix.once("refs", "name", "kind").where("kind = 'call' and name is not null").groupBy(F.col("name").alias("target")).agg(F.count("*").alias("score"))
+    return K.seeds([("hub", hubs), ("gateway", gates)], ix.once("annotations", "target", "kind"), 15)
 
 
 @query(
@@ -83,7 +83,7 @@ def seed(ix):
     "symbols", "refs", "edges", "annotations",
 )
 def build_pack(ix):
-    return K.pack(TARGET, ix.symbols, ix.refs, ix.edges, ix.annotations, AS_OF)
+    return K.pack(TARGET, ix.symbols, ix.once("refs", "file", "name"), ix.once("edges", "src", "dst", "type"), ix.once("annotations", "target", "expires_at"), AS_OF)
 
 
 @query(
@@ -93,7 +93,7 @@ UNION ALL SELECT 'stale_notes', count(*) FROM annotations WHERE target = '{TARGE
     "symbols", "edges", "files", "annotations", f"u AS (SELECT DISTINCT src FROM edges WHERE dst = '{TARGET}' AND type = 'imports' AND src IS NOT NULL)",
 )
 def verify_completeness(ix):
-    return K.completeness(TARGET, ix.symbols, ix.edges, ix.files, ix.annotations)
+    return K.completeness(TARGET, ix.symbols, ix.once("edges", "src", "dst", "type"), ix.files, ix.once("annotations", "target", "staleness"))
 
 
 @query("SELECT 'now' AS label, file, name, kind, line, symbol_id FROM symbols UNION ALL SELECT label, file, name, kind, line, symbol_id FROM (SELECT DISTINCT label, file, name, kind, line, symbol_id FROM symbol_snapshots WHERE label <> 'audit')", "symbols")
@@ -106,5 +106,5 @@ def snapshot_symbols(ix):
 @query(None)
 def graph_dot(ix):
     """The neighbourhood of a file as one DOT text."""
-    edges = ix.edges.where("type = 'imports' and src is not null and dst is not null")
+    edges = ix.once("edges", "src", "dst", "type").where("type = 'imports' and src is not null and dst is not null")
     return ix.spark.createDataFrame([(dot(graph.neighbourhood(edges, TARGET, 1), edges),)], "dot string")

@@ -19,7 +19,7 @@ _T = "t AS (SELECT path, text FROM file_texts WHERE text IS NOT NULL)"
     "annotations",
 )
 def age_format(ix):
-    return ix.annotations.select("id", R.age(F.lit(AS_OF) - F.col("created_at")).alias("age"))
+    return ix.once("annotations", "created_at").select("id", R.age(F.lit(AS_OF) - F.col("created_at")).alias("age"))
 
 
 @query("SELECT doc_id, coalesce(TRY_CAST(nullif(regexp_extract(text, ':(\\d{1,9})\\b', 1), '') AS INTEGER), -1) AS line FROM documents WHERE text IS NOT NULL")
@@ -46,7 +46,7 @@ def normalise_paths(ix):
 
 @query("SELECT id, replace(body, chr(13), chr(10)) AS body FROM annotations WHERE body IS NOT NULL AND length(body) <= 16000", "annotations")
 def sanitise_bodies(ix):
-    return ix.annotations.where("body is not null and length(body) <= 16000").select("id", R.clean_body(F.col("body")).alias("body"))
+    return ix.once("annotations", "target", "body").where("body is not null and length(body) <= 16000").select("id", R.clean_body(F.col("body")).alias("body"))
 
 
 _SHAPE_SQL = "CASE WHEN regexp_matches(text, '(?i)[<{]\\s*(?:name|target|symbol|file|subject|query|term)\\s*[>}]') THEN 'placeholder' " + " ".join("WHEN regexp_matches(text, '(?i){}') THEN '{}'".format(p.replace("'", "''"), s) for p, s in R.SHAPES) + " ELSE 'unclassified' END"
@@ -66,7 +66,7 @@ def ask_subjects(ix):
 
 @query("SELECT src, dst, CASE WHEN regexp_matches(dst[8:], '^[./]') THEN 'unresolved_repo_relative' WHEN ends_with(src, '.py') AND split_part(dst[8:], '.', 1) IN ('os', 're', 'json', 'logging', 'sys') THEN 'stdlib' ELSE 'external' END AS class FROM edges WHERE starts_with(dst, 'module:') AND src IS NOT NULL", "edges")
 def import_class(ix):
-    rows = ix.edges.where(F.col("dst").startswith("module:") & F.col("src").isNotNull())
+    rows = ix.once("edges", "src", "dst").where(F.col("dst").startswith("module:") & F.col("src").isNotNull())
     return rows.select("src", "dst", R.import_class(F.col("src"), F.expr("substring(dst, 8)"), ("os", "re", "json", "logging", "sys")).alias("class"))
 
 
@@ -103,7 +103,9 @@ def missing_paths(ix):
 
 @query(None)
 def integrity_scores(ix):
-    return R.integrity_scores(ix.annotations, ix.symbols, ix.refs, ix.edges, ix.files, ix.texts, AS_OF)
+    return R.integrity_scores(
+        ix.once("annotations", "target", "kind", "body", "expires_at", "staleness", "fingerprint"), ix.symbols, ix.once("refs", "name", "file", "kind"), ix.once("edges", "src", "dst", "type", "evidence"), ix.files, ix.texts, AS_OF
+    )
 
 
 @query("SELECT coalesce(lang, 'other') AS lang, CASE WHEN regexp_matches(path, '(^|/)(dist|build|out|generated|__generated__|auto_generated|coverage|node_modules|vendor|third_party|third-party|tests/baselines|testRunner/fixtures|changelogs|doc/changelogs|__snapshots__)(/|$)') THEN 'artifact' WHEN regexp_matches(path, '(?i)(\\.min\\.(js|css)|\\.bundle\\.(js|css)|\\.map|_pb2\\.py|_pb2_grpc\\.py|\\.pb\\.go|\\.d\\.ts)$') THEN 'generated' WHEN regexp_matches(path, '(?i)(\\.snap|\\.baseline|\\.bak|\\.lock|\\.lockb)$') THEN 'artifact' ELSE 'source' END AS kind, count(*) AS files, coalesce(sum(size), 0)::BIGINT AS bytes FROM files GROUP BY 1, 2", "files")
@@ -121,30 +123,30 @@ def report(ix):
     defs = ix.symbols.where("name is not null").groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
     listing = ix.texts.where("text is not null").select("path", F.sha1(F.encode("text", "UTF-8")).alias("hash"))
     return R.findings({
-        "stale_notes": ("warn", ix.annotations.where(F.col("staleness").isin("weakly_stale", "strongly_stale") & integrity.alive(AS_OF))),
-        "contradicted_notes": ("error", ix.annotations.where("staleness = 'contradicted'")),
+        "stale_notes": ("warn", ix.once("annotations", "expires_at", "staleness", "severity").where(F.col("staleness").isin("weakly_stale", "strongly_stale") & integrity.alive(AS_OF))),
+        "contradicted_notes": ("error", ix.once("annotations", "expires_at", "staleness", "severity").where("staleness = 'contradicted'")),
         "ambiguous_names": ("info", defs),
-        "unused_symbols": ("info", binding.unused_symbols(ix.symbols, ix.refs)),
+        "unused_symbols": ("info", binding.unused_symbols(ix.symbols, ix.once("refs", "name"))),
         "changed_files": ("warn", integrity.check_paths(ix.files, listing)),
     })
 
 
 @query("SELECT r.file, r.line, max_by(b.names, b.line) AS name FROM (SELECT DISTINCT file, line FROM refs WHERE file IS NOT NULL AND line IS NOT NULL) r JOIN bodies b ON r.file = b.file AND b.line <= r.line GROUP BY r.file, r.line", "refs", "symbols", _BODIES)
 def symbol_at_cursor(ix):
-    places = ix.refs.where("file is not null and line is not null").select("file", "line").distinct()
+    places = ix.once("refs", "file", "name", "line").where("file is not null and line is not null").select("file", "line").distinct()
     return S.preceding(places, ix.symbols).where("name is not null").select("file", "line", "name")
 
 
 @query(f"SELECT count(*) AS notes, count(*) FILTER (staleness = 'contradicted') AS refuted, count(*) FILTER (staleness IN ('weakly_stale', 'strongly_stale')) AS stale, sum(len(evidence))::BIGINT AS claims FROM annotations WHERE expires_at IS NULL OR expires_at > {AS_OF}", "annotations")
 def trust_ribbon(ix):
-    living = ix.annotations.where(integrity.alive(AS_OF))
+    living = ix.once("annotations", "expires_at", "evidence", "staleness").where(integrity.alive(AS_OF))
     return living.agg(F.count("*").alias("notes"), F.count_if(F.col("staleness") == "contradicted").alias("refuted"), F.count_if(F.col("staleness").isin("weakly_stale", "strongly_stale")).alias("stale"), F.sum(F.size("evidence")).cast("long").alias("claims"))
 
 
 @query(f"SELECT id, target FROM annotations WHERE staleness = 'contradicted' AND (last_verified_at IS NULL OR last_verified_at >= {AS_OF - 90 * DAY}) AND (expires_at IS NULL OR expires_at > {AS_OF})", "annotations")
 def refuted_recently(ix):
     recent = F.col("last_verified_at").isNull() | (F.col("last_verified_at") >= AS_OF - 90 * DAY)
-    return ix.annotations.where((F.col("staleness") == "contradicted") & recent & integrity.alive(AS_OF)).select("id", "target")
+    return ix.once("annotations", "target", "expires_at", "staleness", "last_verified_at").where((F.col("staleness") == "contradicted") & recent & integrity.alive(AS_OF)).select("id", "target")
 
 
 @query(None)
@@ -152,6 +154,6 @@ def fact_check(ix):
     """The verdict of each document: its claims, its citations of lines, its malformed claims."""
     docs = ix.raw("documents").where("text is not null").select("doc_id", "text")
     found = claims.extracted_claims(docs, "doc_id", "text").withColumn("claim", F.concat_ws("|", F.col("doc_id").cast("string"), "predicate", "subject", "object"))
-    verdicts = found.join(claims.verify_claims(found, ix.symbols, ix.refs, ix.edges, ix.files), "claim").select("doc_id", "verdict")
+    verdicts = found.join(claims.verify_claims(found, ix.symbols, ix.once("refs", "name", "file"), ix.once("edges", "src", "dst", "type"), ix.files), "claim").select("doc_id", "verdict")
     lines = claims.check_lines(claims.cited_lines(docs, "doc_id", "text"), ix.texts, ix.files).select("doc_id", "verdict")
     return claims.overall_verdict(verdicts.unionByName(lines), claims.malformed_claims(docs, "doc_id", "text"), "doc_id")

@@ -23,7 +23,7 @@ _ARTIFACT = (
     "files", "symbols", "refs", "edges", "annotations",
 )
 def stats(ix):
-    return R.table_counts({"files": ix.files, "symbols": ix.symbols, "refs": ix.refs, "edges": ix.edges, "annotations": ix.annotations, "stale_files": ix.files.where("stale = 1")})
+    return R.table_counts({"files": ix.files, "symbols": ix.symbols, "refs": ix.once("refs"), "edges": ix.once("edges"), "annotations": ix.once("annotations"), "stale_files": ix.files.where("stale = 1")})
 
 
 @query(
@@ -53,7 +53,7 @@ def known_names_summary(ix):
 
 @query(f"SELECT dst AS file, count(*) AS reverse_deps FROM edges WHERE type = 'imports' AND NOT {_VIRTUAL} AND dst IN (SELECT path FROM files) GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 10", "edges", "files")
 def hot_files(ix):
-    return R.hot_files(ix.edges, ix.files, 10)
+    return R.hot_files(ix.once("edges", "dst", "type"), ix.files, 10)
 
 
 @query(
@@ -61,7 +61,7 @@ def hot_files(ix):
     "edges", "files",
 )
 def barrel_candidates(ix):
-    return R.barrel_candidates(ix.edges, ix.files, 10)
+    return R.barrel_candidates(ix.once("edges", "dst", "type"), ix.files, 10)
 
 
 _FIRST = "first AS (SELECT name, file, line, kind FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file NULLS FIRST, line NULLS FIRST, kind NULLS FIRST) AS rn FROM symbols WHERE name IS NOT NULL AND {0}) WHERE rn = 1)"
@@ -72,7 +72,7 @@ _FIRST = "first AS (SELECT name, file, line, kind FROM (SELECT *, row_number() O
     "refs", "symbols", _FIRST.format("kind IN ('function', 'method', 'exported')"),
 )
 def gateway_symbols(ix):
-    return R.gateway_symbols(ix.refs, ix.symbols, 10)
+    return R.gateway_symbols(ix.once("refs", "file", "name", "kind", "line"), ix.symbols, 10)
 
 
 @query(
@@ -80,12 +80,12 @@ def gateway_symbols(ix):
     "refs", "symbols", _FIRST.format("kind IS NOT NULL AND NOT regexp_matches(name, '^__.*__$') AND NOT coalesce(" + _ARTIFACT.format("file") + ", false)"),
 )
 def god_symbols(ix):
-    return R.god_symbols(ix.symbols, ix.refs, 20)
+    return R.god_symbols(ix.symbols, ix.once("refs", "file", "name", "kind", "line"), 20)
 
 
 @query("SELECT s.name, s.n AS def_count, coalesce(r.n, 0) AS ref_count FROM (SELECT name, count(*) AS n FROM symbols WHERE name IS NOT NULL GROUP BY name HAVING count(*) > 1) s LEFT JOIN (SELECT name, count(*) AS n FROM refs GROUP BY name) r ON s.name = r.name", "symbols", "refs")
 def ambiguous_refs(ix):
-    return R.ambiguous_refs(ix.symbols, ix.refs)
+    return R.ambiguous_refs(ix.symbols, ix.once("refs", "name"))
 
 
 _MODULE = "CASE WHEN root IS NOT NULL AND starts_with({0}, root || '/') THEN regexp_extract({0}, '^[^/]*/[^/]*') ELSE split_part({0}, '/', 1) END"
@@ -100,7 +100,7 @@ LEFT JOIN (SELECT {_MODULE.format("file")} AS module, count(*) AS refs FROM refs
     "files", "symbols", "refs", _ROOT,
 )
 def module_stats(ix):
-    return R.module_stats(ix.files, ix.symbols, ix.refs, R.source_root(ix.files, SOURCE_ROOTS))
+    return R.module_stats(ix.files, ix.symbols, ix.once("refs", "file", "kind"), R.source_root(ix.files, SOURCE_ROOTS))
 
 
 @query(
@@ -110,7 +110,7 @@ def module_stats(ix):
     "edges", "files", _ROOT,
 )
 def cross_module_edges(ix):
-    return R.cross_module_edges(ix.edges, R.source_root(ix.files, SOURCE_ROOTS))
+    return R.cross_module_edges(ix.once("edges", "src", "dst", "type"), R.source_root(ix.files, SOURCE_ROOTS))
 
 
 @query(
@@ -119,12 +119,12 @@ def cross_module_edges(ix):
     "annotations",
 )
 def notes_totals(ix):
-    return R.note_totals(ix.annotations)
+    return R.note_totals(ix.once("annotations", "kind", "author", "truth_class", "staleness"))
 
 
 @query("SELECT target, count(*) AS note_count, count(*) FILTER (staleness IN ('weakly_stale', 'strongly_stale', 'contradicted')) AS stale_note_count, count(*) FILTER (staleness = 'contradicted') AS contradicted_count FROM annotations WHERE target IS NOT NULL GROUP BY target HAVING stale_note_count > 0", "annotations")
 def target_risk(ix):
-    return R.target_risk(ix.annotations)
+    return R.target_risk(ix.once("annotations", "target", "staleness"))
 
 
 @query(
@@ -132,7 +132,7 @@ def target_risk(ix):
     "annotations",
 )
 def audit_by_subject(ix):
-    claims = ix.annotations.where("staleness = 'contradicted'").select("id", F.explode("evidence").alias("e")).where("e.subject is not null")
+    claims = ix.once("annotations", "evidence", "staleness").where("staleness = 'contradicted'").select("id", F.explode("evidence").alias("e")).where("e.subject is not null")
     # few predicates exist, so the set of them is small
     return claims.groupBy(F.col("e.subject").alias("subject")).agg(F.count("*").alias("claims"), F.count_distinct("id").alias("notes"), F.array_sort(F.collect_set("e.predicate")).alias("predicates"))
 
@@ -188,7 +188,7 @@ def dedupe_first(ix):
     "refs",
 )
 def min_confidence(ix):
-    return R.min_confidence(ix.refs, "file")
+    return R.min_confidence(ix.once("refs", "file", "confidence"), "file")
 
 
 @query(
@@ -197,7 +197,7 @@ def min_confidence(ix):
     "annotations",
 )
 def worst_staleness(ix):
-    return R.worst_staleness(ix.annotations)
+    return R.worst_staleness(ix.once("annotations", "target", "kind", "staleness", "severity"))
 
 
 @query(
@@ -207,39 +207,39 @@ def worst_staleness(ix):
     "symbols", "refs",
 )
 def primary_def_share(ix):
-    return R.primary_definitions(ix.symbols, ix.refs)
+    return R.primary_definitions(ix.symbols, ix.once("refs", "file", "name", "target_symbol_id"))
 
 
 @query("SELECT name, n AS refs, CASE WHEN n <= 5 THEN 'small' WHEN n <= 50 THEN 'medium' ELSE 'large' END AS size FROM (SELECT name, count(*) AS n FROM refs WHERE name IS NOT NULL GROUP BY name)", "refs")
 def refcount(ix):
-    counts = ix.refs.where("name is not null").groupBy("name").agg(F.count("*").alias("refs"))
+    counts = ix.once("refs", "name").where("name is not null").groupBy("name").agg(F.count("*").alias("refs"))
     return counts.withColumn("size", R.size_class(F.col("refs")))
 
 
 @query("SELECT coalesce(confidence, 'unknown') AS level, count(*) AS \"rows\", (sum(count(*)) OVER ())::BIGINT AS total, row_number() OVER (ORDER BY count(*) DESC, level DESC) = 1 AS dominant FROM refs GROUP BY 1", "refs")
 def confidence_summary(ix):
-    return R.level_summary(ix.refs, "confidence")
+    return R.level_summary(ix.once("refs", "confidence"), "confidence")
 
 
 @query("SELECT sum(len(list_filter(evidence, lambda e: e.predicate IS NOT NULL AND e.predicate <> '')))::BIGINT AS claims, count(*) FILTER (len(evidence) > 0) AS notes FROM annotations", "annotations")
 def claims_total(ix):
-    return ix.annotations.agg(F.sum(F.size(F.filter("evidence", lambda e: e["predicate"] != ""))).alias("claims"), F.count_if(F.size("evidence") > 0).alias("notes"))
+    return ix.once("annotations", "evidence").agg(F.sum(F.size(F.filter("evidence", lambda e: e["predicate"] != ""))).alias("claims"), F.count_if(F.size("evidence") > 0).alias("notes"))
 
 
 @query("SELECT author, count(*) AS notes FROM annotations WHERE author IS NOT NULL GROUP BY author ORDER BY 2 DESC, 1 LIMIT 10", "annotations")
 def author_rollup(ix):
-    return R.top_k(ix.annotations.where("author is not null").groupBy("author").agg(F.count("*").alias("notes")), 10, F.desc("notes"), "author")
+    return R.top_k(ix.once("annotations", "author").where("author is not null").groupBy("author").agg(F.count("*").alias("notes")), 10, F.desc("notes"), "author")
 
 
 @query("SELECT CASE WHEN e.predicate = 'called_by' THEN e.object ELSE e.subject END AS target, count(*) AS claims FROM (SELECT unnest(evidence) AS e FROM annotations) GROUP BY 1", "annotations")
 def claims_by_target(ix):
-    e = ix.annotations.select(F.explode("evidence").alias("e"))
+    e = ix.once("annotations", "target", "evidence").select(F.explode("evidence").alias("e"))
     return e.groupBy(F.when(F.col("e.predicate") == "called_by", F.col("e.object")).otherwise(F.col("e.subject")).alias("target")).agg(F.count("*").alias("claims"))
 
 
 @query("SELECT file, count(*) AS refs, count(DISTINCT name) AS names FROM refs WHERE file IS NOT NULL GROUP BY file ORDER BY 2 DESC, 1 LIMIT 10", "refs")
 def top_files(ix):
-    pairs = ix.refs.where("file is not null").groupBy("file", "name").agg(F.count("*").alias("n"))
+    pairs = ix.once("refs", "file", "name").where("file is not null").groupBy("file", "name").agg(F.count("*").alias("n"))
     return R.top_k(pairs.groupBy("file").agg(F.sum("n").alias("refs"), F.count("name").alias("names")), 10, F.desc("refs"), "file")
 
 
@@ -274,7 +274,7 @@ ORDER BY rank, created_at DESC NULLS LAST, id LIMIT 25""",
 def guidance_by_scope(ix):
     t = F.col("target")
     rank = F.when(t == "@project", 4).when(t.endswith("/"), 3).when(t.contains("#"), 1).otherwise(2)
-    notes = ix.annotations.where((F.col("kind") == "guidance") & t.isNotNull() & alive(AS_OF)).withColumn("rank", rank)
+    notes = ix.once("annotations", "target", "kind", "created_at", "expires_at").where((F.col("kind") == "guidance") & t.isNotNull() & alive(AS_OF)).withColumn("rank", rank)
     return R.top_k(notes, 25, "rank", F.desc_nulls_last("created_at"), "id").select("id", "target", "rank")
 
 
@@ -284,12 +284,12 @@ def guidance_by_scope(ix):
 )
 def annotations_order(ix):
     rank = R.rank_of(F.col("staleness"), R.STALENESS_RANK, 2)
-    return R.top_k(ix.annotations, 50, rank, F.desc_nulls_last("confidence"), F.desc_nulls_last("created_at"), "id").select("id", "staleness", "confidence")
+    return R.top_k(ix.once("annotations", "created_at", "confidence", "staleness"), 50, rank, F.desc_nulls_last("confidence"), F.desc_nulls_last("created_at"), "id").select("id", "staleness", "confidence")
 
 
 @query("SELECT id, file, line, (SELECT count(*) FROM refs WHERE name = 'get_config') AS total, (SELECT count(*) FROM refs WHERE name = 'get_config') > 100 AS truncated FROM refs WHERE name = 'get_config' ORDER BY id LIMIT 100", "refs")
 def capped_refs(ix):
-    hits = ix.refs.where("name = 'get_config'")
+    hits = ix.once("refs", "file", "name", "line").where("name = 'get_config'")
     total = hits.count()
     return R.top_k(hits, 100, "id").select("id", "file", "line", F.lit(total).cast("long").alias("total"), F.lit(total > 100).alias("truncated"))
 
@@ -300,7 +300,7 @@ def capped_refs(ix):
 )
 def fit_to_budget(ix):
     """Notes of one target by falling confidence, as many as a budget of tokens holds."""
-    notes = ix.annotations.where("body is not null and target = '@project'").withColumn("cost", budget.estimate_tokens(F.col("body")))
+    notes = ix.once("annotations", "target", "body", "confidence").where("body is not null and target = '@project'").withColumn("cost", budget.estimate_tokens(F.col("body")))
     return budget.within_budget(notes, "cost", 500, [], F.desc_nulls_last("confidence"), F.asc("id")).select("id", "cost", "spent")
 
 
@@ -319,5 +319,5 @@ def replaced_by_edges(ix):
     "annotations",
 )
 def memory_header(ix):
-    return ix.annotations.agg(F.count("*").alias("notes"), F.count_if(alive(AS_OF)).alias("living"), F.count_if(F.col("staleness") == "contradicted").alias("contradicted"), F.count_if(F.col("created_at") >= AS_OF - 7 * DAY).alias("last_week"))
+    return ix.once("annotations", "created_at", "expires_at", "staleness").agg(F.count("*").alias("notes"), F.count_if(alive(AS_OF)).alias("living"), F.count_if(F.col("staleness") == "contradicted").alias("contradicted"), F.count_if(F.col("created_at") >= AS_OF - 7 * DAY).alias("last_week"))
 

@@ -135,7 +135,7 @@ def text_occurrences(ix):
     _T, "symbols", "refs",
 )
 def implicit_usage(ix):
-    found = E.occurrences(ix.texts, ix.symbols.where("name is not null").select("name")).join(ix.refs.groupBy("name").agg(F.count("*").alias("refs")), "name", "left").fillna(0, ["refs"])
+    found = E.occurrences(ix.texts, ix.symbols.where("name is not null").select("name")).join(ix.once("refs", "name").groupBy("name").agg(F.count("*").alias("refs")), "name", "left").fillna(0, ["refs"])
     return found.where(E.implicit_usage(F.col("refs"), F.col("hits"))).select("name", "hits", "refs")
 
 
@@ -155,7 +155,7 @@ def entrypoints(ix):
 
 @query("SELECT dst, CASE WHEN regexp_matches(dst[8:], '^<.*>$|\\.h(pp)?$') THEN 'external_include' WHEN starts_with(dst[8:], '.') THEN 'repo_relative' WHEN starts_with(dst[8:], '/') THEN 'root_import' ELSE 'module' END AS kind, count(*) AS edges FROM edges WHERE starts_with(dst, 'module:') GROUP BY 1, 2", "edges")
 def unresolved_imports(ix):
-    return ix.edges.where(F.col("dst").startswith("module:")).groupBy("dst", E.unresolved_kind(F.col("dst")).alias("kind")).agg(F.count("*").alias("edges"))
+    return ix.once("edges", "dst").where(F.col("dst").startswith("module:")).groupBy("dst", E.unresolved_kind(F.col("dst")).alias("kind")).agg(F.count("*").alias("edges"))
 
 
 @query(None)
@@ -173,7 +173,7 @@ def scan_contracts(ix):
     "SELECT sha1(coalesce(target, '') || '|' || coalesce(kind, '') || '|' || coalesce(body, '')) AS hash, count(*) AS notes FROM annotations GROUP BY 1", "annotations",
 )
 def note_hashes(ix):
-    return ix.annotations.groupBy(N.note_hash(F.col("target"), F.col("kind"), F.col("body")).alias("hash")).agg(F.count("*").alias("notes"))
+    return ix.once("annotations", "target", "kind", "body").groupBy(N.note_hash(F.col("target"), F.col("kind"), F.col("body")).alias("hash")).agg(F.count("*").alias("notes"))
 
 
 @query(
@@ -182,12 +182,12 @@ def note_hashes(ix):
 )
 def note_import(ix):
     """Notes with an author as existing, those without as incoming."""
-    return N.new_notes(ix.annotations.where("author is null").select("target", "kind", "body"), ix.annotations.where("author is not null")).select("target", "kind", "body")
+    return N.new_notes(ix.once("annotations", "target", "kind", "body", "author").where("author is null").select("target", "kind", "body"), ix.once("annotations", "target", "kind", "body", "author").where("author is not null")).select("target", "kind", "body")
 
 
 @query(None)
 def note_export(ix):
-    return N.exported(ix.annotations)
+    return N.exported(ix.raw("annotations").distinct())
 
 
 @query(
@@ -196,7 +196,7 @@ def note_export(ix):
 )
 def evidence_ingest(ix):
     """The targets of all notes, written as JSON lines and read again as evidence."""
-    lines = ix.annotations.select(F.to_json(F.struct("target", "kind", F.col("body").alias("note"))).alias("value"))
+    lines = ix.once("annotations", "target", "kind", "body", "confidence", "evidence").select(F.to_json(F.struct("target", "kind", F.col("body").alias("note"))).alias("value"))
     return N.read_evidence(lines, ix.files, ix.symbols).groupBy("target", "state").agg(F.count("*").alias("rows"))
 
 
@@ -205,18 +205,18 @@ _MERGED = "m AS (SELECT id, src, dst, type FROM edges WHERE confidence IS NOT NU
 
 @query("SELECT id, src, dst, type FROM m", "edges", _MERGED)
 def upsert_rows(ix):
-    checked = ix.edges.where("confidence is null").select("id", "src", "dst", F.lit("checked").alias("type"))
-    return W.upsert(ix.edges.select("id", "src", "dst", "type"), checked, ("id",))
+    checked = ix.once("edges", "src", "dst", "type", "confidence").where("confidence is null").select("id", "src", "dst", F.lit("checked").alias("type"))
+    return W.upsert(ix.once("edges", "src", "dst", "type", "confidence").select("id", "src", "dst", "type"), checked, ("id",))
 
 
 @query("SELECT id, file FROM refs WHERE file IS NULL OR file NOT IN (SELECT path FROM files WHERE stale = 1)", "refs", "files")
 def remove_files(ix):
-    return W.without_files(ix.refs, "file", ix.files.where("stale = 1")).select("id", "file")
+    return W.without_files(ix.once("refs", "file"), "file", ix.files.where("stale = 1")).select("id", "file")
 
 
 @query("SELECT src, dst, type, min(id) AS id FROM edges e WHERE type = 'imports' AND src IS NOT NULL AND dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges x WHERE x.type = 'pair_inspect' AND x.src = e.src AND x.dst = e.dst) GROUP BY 1, 2, 3", "edges")
 def add_edges_once(ix):
-    rows = ix.edges.where("src is not null and dst is not null")
+    rows = ix.once("edges", "src", "dst", "type").where("src is not null and dst is not null")
     other = rows.where("type = 'pair_inspect'").withColumn("type", F.lit("imports"))
     return W.add_once(other, rows.where("type = 'imports'").select("src", "dst", "type", "id"), ("src", "dst", "type"))
 
@@ -226,13 +226,13 @@ def add_edges_once(ix):
     "annotations", "files",
 )
 def expire_notes(ix):
-    return W.expire(ix.annotations, ix.files, AS_OF, 200 * DAY).select("id", "expires_at")
+    return W.expire(ix.once("annotations", "target", "created_at", "expires_at"), ix.files, AS_OF, 200 * DAY).select("id", "expires_at")
 
 
 @query("SELECT a.id, CASE WHEN l.n IS NOT NULL THEN 'moved/' || a.target ELSE a.target END AS target FROM annotations a LEFT JOIN (SELECT DISTINCT current_path AS n FROM file_lifeline WHERE tombstoned_at IS NOT NULL) l ON split_part(a.target, '#', 1) = l.n", "annotations")
 def retarget_notes(ix):
     moved = ix.lifelines.where("tombstoned_at is not null and current_path is not null").select(F.col("current_path").alias("old"), F.concat(F.lit("moved/"), "current_path").alias("new")).distinct()
-    return W.retarget(ix.annotations, moved).select("id", "target")
+    return W.retarget(ix.once("annotations", "target"), moved).select("id", "target")
 
 
 @query("SELECT path AS current_path FROM files WHERE path NOT IN (SELECT current_path FROM file_lifeline WHERE tombstoned_at IS NULL AND current_path IS NOT NULL)", "files")
@@ -259,11 +259,11 @@ _CLASS = """SELECT file, line, CASE WHEN hit THEN 'at_risk' WHEN shift <> 0 THEN
 def classify_cited_lines(ix):
     patch = "--- a/brinefall/core/runtime/dispatch.py\n+++ b/brinefall/core/runtime/dispatch.py\n@@ -10,3 +10,5 @@\n a\n@@ -40,0 +42,7 @@\n+b\n@@ -60,4 +69 @@\n-c\n"
     hunks = P.parse_patches(ix.spark.createDataFrame([(1, patch)], "id int, patch string"), "id", "patch")
-    lines = ix.refs.where("file is not null and line is not null").select("file", "line")
+    lines = ix.once("refs", "file", "line").where("file is not null and line is not null").select("file", "line")
     return P.classify_lines(lines, hunks).select("file", "line", "status", F.coalesce("new_line", F.lit(-1)).cast("long").alias("new_line"))
 
 
 @query(f"SELECT dir, count(*) FILTER (n = 0) AS bare FROM (SELECT d.dir, d.path, count(a.id) AS n FROM (SELECT path, unnest({ancestors_sql('path')}) AS dir FROM files) d LEFT JOIN annotations a ON a.target = d.path GROUP BY d.dir, d.path) GROUP BY dir", "files", "annotations")
 def bare_files_per_directory(ix):
-    noted = ix.files.select("path").join(ix.annotations.select(F.col("target").alias("path")).distinct().withColumn("n", F.lit(1)), "path", "left")
+    noted = ix.files.select("path").join(ix.once("annotations", "target").select(F.col("target").alias("path")).distinct().withColumn("n", F.lit(1)), "path", "left")
     return noted.select(F.explode(ancestors(F.col("path"))).alias("dir"), "n").groupBy("dir").agg(F.count_if(F.col("n").isNull()).alias("bare"))

@@ -35,6 +35,14 @@ class Index:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.base, name)
 
+    def once(self, name: str, *columns: str) -> DataFrame:
+        """Rows of a table with an id, each id once, with the columns asked only.
+
+        A row that was delivered again is the same in all columns, so distinct rows of (id, columns) are
+        those of distinct ids; filters on any of the columns reach the scan, and no other column is read.
+        """
+        return self.raw(name).select("id", *columns).distinct()
+
     @functools.cached_property
     def files(self) -> DataFrame:
         return latest_files(self.raw("files"))
@@ -47,18 +55,6 @@ class Index:
     def labels(self) -> DataFrame:
         return small_side(cut(ordered_labels(self.raw("snapshot_labels"))))
 
-    @functools.cached_property
-    def refs(self) -> DataFrame:
-        return self.raw("refs").distinct()
-
-    @functools.cached_property
-    def edges(self) -> DataFrame:
-        return self.raw("edges").distinct()
-
-    @functools.cached_property
-    def annotations(self) -> DataFrame:
-        return self.raw("annotations").distinct()
-
     @functools.cached_property
     def events(self) -> DataFrame:
         return self.raw("file_event").distinct()
