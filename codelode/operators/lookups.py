@@ -154,7 +154,7 @@ def reference_sites(refs: DataFrame, name: str, examples: int = 5) -> DataFrame:
     """(name, total, file, line): the first sites of references by a name, with the count of all."""
     hits = refs.where(F.col("name") == name)
     total = hits.count()
-    return hits.where("file is not null").select("file", "line").distinct().orderBy("file", "line").limit(examples).select(F.lit(name).alias("name"), F.lit(total).alias("total"), "file", "line")
+    return hits.where("file is not null").select("file", "line").distinct().orderBy("file", "line").limit(examples).select(F.lit(name).alias("name"), F.lit(total).cast("long").alias("total"), "file", "line")
 
 
 def symbol_references(symbols: DataFrame, refs: DataFrame, name: str, file: str | None = None) -> DataFrame:
@@ -174,4 +174,4 @@ def list_files(files: DataFrame, patterns: Sequence[str], lang: str | None, limi
     if lang is not None:
         hit = hit & F.coalesce(F.col("lang") == lang, F.lit(False))
     total, matched = files.agg(F.count("*"), F.count_if(hit)).first()
-    return files.where(hit).select("path", "lang", F.lit(matched).alias("matched"), F.lit(total).alias("total")).orderBy("path").limit(limit)
+    return files.where(hit).select("path", "lang", F.lit(matched).cast("long").alias("matched"), F.lit(total).cast("long").alias("total")).orderBy("path").limit(limit)
