@@ -106,12 +106,18 @@ def parts_of(text: str) -> tuple[str, str, str] | None:
     return text[:q], text[q:p], text[p:]
 
 
+def stored_as(encoding) -> str:
+    """The type of stored ids: two bytes where they suffice."""
+    return "<u2" if encoding.n_vocab <= 1 << 16 else "<u4"
+
+
 def _encode(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
+        kind = stored_as(enc)
         for pdf in batches:
             split = [parts_of(t) for t in pdf["text"]]
-            middles = enc.encode_ordinary_batch([s[1] if s else "" for s in split], num_threads=1)
+            middles = [enc.encode_ordinary(s[1]) if s else [] for s in split]
             yield pd.DataFrame(
                 {
                     "h1": pdf["h1"],
@@ -119,7 +125,7 @@ def _encode(path: str):
                     "n": pdf["n"],
                     "solid": [s is None for s in split],
                     "head": [s[0] if s else t for s, t in zip(split, pdf["text"])],
-                    "middle": [np.asarray(m, "<u4").tobytes() for m in middles],
+                    "middle": [np.asarray(m, kind).tobytes() for m in middles],
                     "tail": [s[2] if s else "" for s in split],
                 }
             )
@@ -127,14 +133,14 @@ def _encode(path: str):
     return run
 
 
-def join_chunks(pieces: list[tuple[bool, str, bytes, str]], encode) -> np.ndarray:
-    """Ids of the text that the chunks (solid, head, ids of the middle, tail) make."""
+def join_chunks(pieces: list[tuple[bool, str, bytes, str]], encode, kind: str = "<u4") -> np.ndarray:
+    """Ids of the text that the chunks (solid, head, ids of the middle stored as kind, tail) make."""
     out, open_text = [], ""
     for solid, head, middle, tail in pieces:
         open_text += head
         if solid:
             continue
-        out += [np.asarray(encode(open_text), np.int32), np.frombuffer(middle, "<u4").astype(np.int32)]
+        out += [np.asarray(encode(open_text), np.int32), np.frombuffer(middle, kind).astype(np.int32)]
         open_text = tail
     out.append(np.asarray(encode(open_text), np.int32))
     return np.concatenate(out)
@@ -142,11 +148,11 @@ def join_chunks(pieces: list[tuple[bool, str, bytes, str]], encode) -> np.ndarra
 
 def _assembler(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode, kind = encoder(path).encode_ordinary, stored_as(encoder(path))
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 part = pdf.iloc[lo : lo + 1000]
-                ids = [join_chunks([(p["solid"], p["head"], p["middle"], p["tail"]) for p in pieces], encode) for pieces in part["pieces"]]
+                ids = [join_chunks([(p["solid"], p["head"], p["middle"], p["tail"]) for p in pieces], encode, kind) for pieces in part["pieces"]]
                 yield pd.DataFrame({"doc": part["doc"], "ids": ids})
 
     return run
