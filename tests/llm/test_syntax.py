@@ -3,6 +3,7 @@ import pytest
 from codelode.llm.syntax import GRAMMARS, first_error
 
 VALID = {
+    "css": ["", "a, b > c ~ d + e:hover::before { color: red; margin: 0 auto }\n@media (min-width: 1px) { .a.b#c[d='e'] *, :not(.f, g) { --x: 1; background: url(a.png) } }\n@import 'x.css';\n", "@keyframes k { 0% { top: 0 } 33.3%, to { top: 1px } }\nh1\n  ,\n  h2  >  p { }\n/* } */\n"],
     "python": ["", "x: int = 1\na.b[c], (d, *e) = f = g()\nx[f(1)] += 2\n(a.b)(c).d = 1\nd['a': 1] = 2\n", "def f(a, *, b=1, **c) -> int:\n  for x in y:\n    if x: break\n    else: continue\n  return lambda: (yield)\nasync def g():\n  async with a as b, c: await d\n  return [x async for x in y if x]\n", "while x: x = lambda a=1: a; break\nmatch x:\n  case {'a': [1, *b]} if b: pass\n  case A(c=1) | None: pass\ntype T[U] = list[U]\n", "class A(B, metaclass=C):\n  x = 1\n  def f(self): return self.x\n  y = property(f)\n@d(1)\nclass E: pass\nprint(f'{x}', 0x1F, 1_0.5e3j, 00, b'a')\n", "if (n := 10) > 5: x = {**a, 'b': 1}; y = [*c]; z = a if b else c\ntry: pass\nexcept* (A, B) as e: raise X from e\nfinally: del a, b[0]\n"],
     "json": ["1", " {\"a\": [1.5e-3, null, \"\\u00e9\"]} ", "[]"],
     "javascript": [
@@ -36,6 +37,7 @@ VALID = {
     ],
 }
 BROKEN = {
+    "css": ["a { color: red", "a { color red; }", "} a {}", "<<<<<<< HEAD\na { }", "a { color: red; }\n=======\nb { }", "a[b { }", "<html> { x }"],
     "python": ["def f(:\n  pass\n", "return 1\n", "for x in y: pass\nbreak\n", "1 = x\n", "f() = 1\n", "a + b = c\n", "x = 08\n", "class A:\n  return 1\n", "def f():\n  await x\n", "if a:\nb\n", "  a\n", "print 'x'\n", "x = (1,\n", "a, 1 = b\n", "None += 1\n", "f(a) += 1\n", "x = y = 2 = z\n", "while 1:\n  pass\nelse:\n  break\n"],
     "json": ["", "{", "[1,]", "{'a': 1}", "{\"a\": 1} 2", "01", "NaN", "// c\n1"],
     "javascript": ["let x = ;", "function f( {", "a b", "<<<<<<< ours\na\n", "let class = 1", "if (a) { ", "f() = 1", "1 = x", "const x: number = 1", "for (x) y", "x = `a${b", "010", "with (a) b", "@d class A {}", "/* open", "return_ }", "{ \"a\": 1, \"b\": 2 }", "a\n=======\nb", "x = a ? b", "export { a", "import x from y", "() + 1", "throw\nx", "'a\nb'"],
@@ -90,3 +92,10 @@ def test_python_as_compile_says(text):
     except SyntaxError:
         valid = False
     assert (first_error(text, "python") < 0) == valid
+
+
+def test_a_long_text_that_is_no_selector_ends():
+    words = "\n    ".join(f"some words, that - are no selector ({i}" for i in range(3000))
+    assert first_error(words + " ! { }", "css") >= 0
+    assert first_error("a " * 20_000 + "! { }", "css") >= 0
+    assert first_error(", ".join(f".c{i}  >  d" for i in range(5000)) + " { top: 0 }", "css") == -1
