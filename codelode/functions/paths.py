@@ -50,7 +50,10 @@ def artifact_class(path: Column) -> Column:
 
 
 def is_artifact(path: Column) -> Column:
-    return F.coalesce(artifact_class(path)["kind"] != "source", F.lit(False))
+    """Whether artifact_class gives anything but source, by two patterns."""
+    in_dir = path.rlike(r"(?:^|/)(?:" + "|".join(map(re.escape, ARTIFACT_DIRS)) + r")(?:/|$)")
+    by_name = path.rlike(r"(?i)(?:(?:^|/)CHANGELOG[_.-]?[A-Z0-9]*\.md$|" + "|".join(p for p, _, _ in ARTIFACT_NAMES) + ")")
+    return F.coalesce(in_dir | by_name, F.lit(False))
 
 
 def in_scope(path: Column, prefixes: tuple[str, ...] = VENDOR_PREFIXES) -> Column:
